@@ -17,12 +17,25 @@ from tillcast.operators.encoding import encode_categories
 from tillcast.operators.evaluation import rmse, score_holdout, temporal_split
 from tillcast.operators.features import model_features
 from tillcast.operators.forecasting import mean_forecast, model_forecast
-from tillcast.operators.offers import advance_amounts, lookup_forecasts, lookup_offers
+from tillcast.operators.offers import (
+    advance_amounts,
+    lookup_forecasts,
+    lookup_offers,
+    score_offers,
+)
 from tillcast.operators.series import continuous_series
 from tillcast.operators.streaks import positive_streaks
 from tillcast.operators.training import train_forecaster
 from tillcast.plans.scoring import offers_from_transactions
-from tillcast.schema import CODES, HORIZON_MONTHS, MERCHANT, MONTH, PREDICTION, SALES
+from tillcast.schema import (
+    CODES,
+    HORIZON_MONTHS,
+    MERCHANT,
+    MONTH,
+    PREDICTION,
+    SALES,
+    AdvancePolicy,
+)
 from tillcast.sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,10 +204,30 @@ def supplier_offers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Customers buy too seldom for the ordinary rules.
+LENIENT = AdvancePolicy(min_streak_months=1, min_recent_to_prior=0.5)
+
+
 def offers(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(supplier_offers(spark, folder), "advance_amount")
 
 
+def offers_from_series(spark: SparkSession, folder: str) -> DataFrame:
+    as_of = panels.supplier_bounds(spark, folder).select("last_month")
+    scored = score_offers(supplier_series(spark, folder), as_of=as_of, jitter=0.0)
+    return rounded(scored, "advance_amount")
+
+
+def offers_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    scored = offers_from_transactions(
+        panels.customer_monthly(spark, folder),
+        panels.customer_bounds(spark, folder),
+        jitter=0.0,
+        policy=LENIENT,
+    )
+    return rounded(scored, "advance_amount")
+
+
 def order_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Every order asks for the merchant numbered like its customer; many are unknown."""
     return panels.read_table(spark, folder, "orders").select(
@@ -299,6 +332,8 @@ def queries() -> dict[str, Query]:
         "jittered_forecast": jittered_forecast,
         "advance_amounts": amounts,
         "offers": offers,
+        "offers_from_series": offers_from_series,
+        "offers_sparse": offers_sparse,
         "forecast_lookup": forecast_lookup,
         "offer_lookup": offer_lookup,
         "temporal_split": split_sizes,
@@ -652,6 +687,17 @@ FROM forecasts GROUP BY anonymous_uu_id""",
             supplier | ASOF | OFFERS,
             "SELECT * REPLACE (round(advance_amount, 4) AS advance_amount) FROM offers",
         ),
+        "offers_from_series": _with(
+            supplier | ASOF | OFFERS,
+            "SELECT * REPLACE (round(advance_amount, 4) AS advance_amount) FROM offers",
+        ),
+        "offers_sparse": _with(
+            customer
+            | ASOF
+            | {"verdicts": ASOF["verdicts"].replace(">= 12 AS", ">= 1 AS").replace("0.95", "0.5")}
+            | OFFERS,
+            "SELECT * REPLACE (round(advance_amount, 4) AS advance_amount) FROM offers",
+        ),
         "forecast_lookup": _with(
             supplier
             | FORECAST

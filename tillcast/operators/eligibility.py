@@ -67,7 +67,12 @@ def asof_features(series: DataFrame, as_of: AsOf = None) -> DataFrame:
     return (
         with_latest_run(series, as_of)
         .groupBy(MERCHANT)
-        .agg(*asof_aggregates(as_of), F.count_if(_within(as_of, -12)).alias("rows_last_12"))
+        .agg(
+            *asof_aggregates(as_of),
+            F.count_if(F.col(MONTH).between(F.add_months(as_of, -12), as_of)).alias(
+                "rows_last_12"
+            ),
+        )
         .where("rows_last_12 > 0")
         .drop("rows_last_12")
     )
@@ -110,7 +115,8 @@ def with_latest_run(series: DataFrame, as_of: Column) -> DataFrame:
     """Rows up to ``as_of``, with ``in_latest_run`` true on the latest streak.
 
     Going back in time, month number plus the count of selling months so far stays
-    the same through the latest streak and is lower after its first gap.
+    the same through the latest streak and is lower after its first gap. Months
+    may be missing, they are gaps; a null month is kept.
     """
     back = (
         Window.partitionBy(MERCHANT)
@@ -119,7 +125,7 @@ def with_latest_run(series: DataFrame, as_of: Column) -> DataFrame:
     )
     sold = F.coalesce(F.col(SALES) > 0, F.lit(False))
     return (
-        series.where(F.col(MONTH) <= as_of)
+        series.where((F.col(MONTH) <= as_of) | F.col(MONTH).isNull())
         .select(MERCHANT, MONTH, SALES, sold.alias("sold"), month_number(MONTH).alias("number"))
         .withColumns(
             {
@@ -140,22 +146,38 @@ def with_latest_run(series: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def asof_aggregates(as_of: Column) -> list[Column]:
-    """As-of features as aggregates over :func:`with_latest_run`; missing ones are 0."""
-    recent = _within(as_of, -3)
-    prior = (F.col(MONTH) >= F.add_months(as_of, -6)) & (F.col(MONTH) < F.add_months(as_of, -3))
-    zero = F.lit(0.0)
+def asof_aggregates(as_of: Column, first_month: Column | None = None) -> list[Column]:
+    """As-of features as aggregates over :func:`with_latest_run`; missing ones are 0.
+
+    Averages are over the rows of a range. With ``first_month`` the rows need not
+    include months without sales: sums are divided by the number of calendar
+    months, which begin there and end with ``as_of``, the first day of a month.
+    """
+    year_ago, half_ago, quarter_ago = (F.add_months(as_of, -k) for k in (12, 6, 3))
+    last_12 = F.col(MONTH).between(year_ago, as_of)
+    recent = F.col(MONTH).between(quarter_ago, as_of)
+    prior = (F.col(MONTH) >= half_ago) & (F.col(MONTH) < quarter_ago)
+
+    def mean(condition: Column, first: Column, last: Column) -> Column:
+        if first_month is None:
+            average = F.avg(F.when(condition, F.col(SALES)))
+        else:
+            months = calendar_months(F.greatest(first, first_month), last)
+            average = F.when(months > 0, F.sum(F.when(condition, F.col(SALES))) / months)
+        return F.coalesce(average, F.lit(0.0))
+
     return [
-        F.coalesce(_mean_where(_within(as_of, -12)), zero).alias("avg_sales_last_12_months"),
-        F.count_if(_within(as_of, -12) & F.col("sold")).alias("months_in_last_12_with_sales"),
-        F.coalesce(_mean_where(recent), zero).alias("avg_sales_recent_3_months"),
-        F.coalesce(_mean_where(prior), zero).alias("avg_sales_prior_3_months"),
+        mean(last_12, year_ago, as_of).alias("avg_sales_last_12_months"),
+        F.count_if(last_12 & F.col("sold")).alias("months_in_last_12_with_sales"),
+        mean(recent, quarter_ago, as_of).alias("avg_sales_recent_3_months"),
+        mean(prior, half_ago, F.add_months(as_of, -4)).alias("avg_sales_prior_3_months"),
         F.count_if("in_latest_run").alias("latest_consecutive_months_with_sales"),
     ]
 
 
-def _within(as_of: Column, months: int) -> Column:
-    return F.col(MONTH).between(F.add_months(as_of, months), as_of)
+def calendar_months(first: Column, last: Column) -> Column:
+    """How many months there are from ``first`` to ``last``."""
+    return month_number(last) - month_number(first) + 1
 
 
 def _mean_where(condition: Column) -> Column:

@@ -13,6 +13,7 @@ from tillcast.operators.eligibility import (
     AsOf,
     as_of_column,
     asof_aggregates,
+    calendar_months,
     verdict_columns,
     with_latest_run,
 )
@@ -66,6 +67,55 @@ def score_offers(
     is known, the default reads ``series`` a second time.
     """
     as_of = as_of_column(series, as_of)
+    measures = (
+        with_latest_run(series, as_of)
+        .groupBy(MERCHANT)
+        .agg(
+            *asof_aggregates(as_of),
+            F.avg(SALES).alias("mean_sales"),
+            F.max(MONTH).alias("latest_month"),
+        )
+    )
+    return _offers(measures, requests, horizon, jitter, seed, policy)
+
+
+def score_offers_from_totals(
+    totals: DataFrame,
+    bounds: DataFrame,
+    requests: DataFrame | None = None,
+    horizon: int = HORIZON_MONTHS,
+    jitter: float = 0.05,
+    seed: int = 0,
+    policy: AdvancePolicy = AdvancePolicy(),
+) -> DataFrame:
+    """The offers of :func:`score_offers` without building the series.
+
+    Works on ``monthly_totals`` and the calendar ``bounds``: months without sales add
+    nothing to a sum, so they are counted from the calendar instead of being
+    made, sorted and thrown away.
+    """
+    span = bounds.select(F.struct(F.col("first_month"), F.col("last_month"))).scalar()
+    first_month, as_of = span.getField("first_month"), span.getField("last_month")
+    measures = (
+        with_latest_run(totals, as_of)
+        .groupBy(MERCHANT)
+        .agg(
+            *asof_aggregates(as_of, first_month),
+            (F.sum(SALES) / calendar_months(first_month, as_of)).alias("mean_sales"),
+        )
+        .withColumn("latest_month", as_of)
+    )
+    return _offers(measures, requests, horizon, jitter, seed, policy)
+
+
+def _offers(
+    measures: DataFrame,
+    requests: DataFrame | None,
+    horizon: int,
+    jitter: float,
+    seed: int,
+    policy: AdvancePolicy,
+) -> DataFrame:
     forecast_months = [
         mean_prediction(
             F.col("mean_sales"),
@@ -77,21 +127,11 @@ def score_offers(
         for k in range(1, horizon + 1)
     ]
     amount = F.coalesce(reduce(add, forecast_months), F.lit(0.0)) * policy.advance_rate
-    offers = (
-        with_latest_run(series, as_of)
-        .groupBy(MERCHANT)
-        .agg(
-            *asof_aggregates(as_of),
-            F.avg(SALES).alias("mean_sales"),
-            F.max(MONTH).alias("latest_month"),
-        )
-        .withColumns(verdict_columns(policy))
-        .select(
-            MERCHANT,
-            *REASONS,
-            "is_eligible",
-            F.when(F.col("is_eligible"), amount).otherwise(F.lit(0.0)).alias("advance_amount"),
-        )
+    offers = measures.withColumns(verdict_columns(policy)).select(
+        MERCHANT,
+        *REASONS,
+        "is_eligible",
+        F.when(F.col("is_eligible"), amount).otherwise(F.lit(0.0)).alias("advance_amount"),
     )
     return offers if requests is None else lookup_offers(requests, offers)
 

@@ -28,6 +28,20 @@ def month_bounds(df: DataFrame, column: str = MONTH_DT) -> DataFrame:
     return df.agg(F.min(month).alias("first_month"), F.max(month).alias("last_month"))
 
 
+def monthly_totals(df: DataFrame) -> DataFrame:
+    """The months in which a merchant has rows, with their sales; no gaps are filled.
+
+    Rows without a month come as one null month with zero sales, so that the
+    merchant stays known.
+    """
+    return (
+        _with_series_inputs(df)
+        .groupBy(MERCHANT, MONTH)
+        .agg(F.sum(SALES).alias(SALES))
+        .withColumn(SALES, F.when(F.col(MONTH).isNull(), F.lit(0.0)).otherwise(F.col(SALES)))
+    )
+
+
 def continuous_series(df: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """One row per merchant and month, zero sales where there were none.
 
@@ -58,25 +72,21 @@ def continuous_series(df: DataFrame, bounds: DataFrame | None = None) -> DataFra
         .agg(F.sum(SALES).alias(SALES), *[F.any_value(c, True).alias(c) for c in extras])
     )
 
-    by_month = Window.partitionBy(MERCHANT).orderBy(MONTH)
+    # The window by merchant comes first: its partitioning and order serve the others.
     by_weight = Window.partitionBy(MERCHANT).orderBy(
         F.col(MONTH), F.col(SALES).desc(), *[F.col(c).asc_nulls_last() for c in CODES]
     )
-    same_month = by_month.rangeBetween(Window.currentRow, Window.currentRow)
+    same_month = F.lag(MONTH).over(by_weight).eqNullSafe(F.col(MONTH))
     unique = (
-        monthly.withColumns(
-            {
-                "month_sales": F.sum(SALES).over(same_month),
-                "leads_month": ~F.lag(MONTH).over(by_weight).eqNullSafe(F.col(MONTH))
-                | (F.row_number().over(by_weight) == 1),
-            }
-        )
+        monthly.withColumn("leads_month", ~same_month | (F.row_number().over(by_weight) == 1))
+        .withColumn("month_sales", F.sum(SALES).over(Window.partitionBy(MERCHANT, MONTH)))
         .where("leads_month")
         .select(MERCHANT, MONTH, F.col("month_sales").alias(SALES), *CODES, *extras)
     )
 
     # Each row stands for the months up to the merchant's next one, the first
     # row also for those before it.
+    by_month = Window.partitionBy(MERCHANT).orderBy(MONTH)
     filled = unique.withColumns(
         {
             "from_month": F.when(F.row_number().over(by_month) == 1, first_month).otherwise(

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 
 from tillcast.operators.cleaning import clean_transactions
 from tillcast.operators.forecasting import mean_forecast
-from tillcast.operators.offers import score_offers
-from tillcast.operators.series import continuous_series, month_bounds
+from tillcast.operators.offers import score_offers_from_totals
+from tillcast.operators.series import continuous_series, month_bounds, monthly_totals
 from tillcast.schema import HORIZON_MONTHS, AdvancePolicy
 
 
@@ -32,18 +32,8 @@ def offers_from_transactions(
     seed: int = 0,
     policy: AdvancePolicy = AdvancePolicy(),
 ) -> DataFrame:
-    """Offers as of the last month of the calendar.
-
-    The series ends with the calendar, so its last month is taken from ``bounds`` rather
-    than by a second pass over the series.
-    """
+    """Offers as of the last month of the calendar, which is that of ``cleaned`` by default."""
     bounds = month_bounds(cleaned) if bounds is None else bounds
-    return score_offers(
-        continuous_series(cleaned, bounds),
-        requests,
-        bounds.select("last_month"),
-        horizon,
-        jitter,
-        seed,
-        policy,
+    return score_offers_from_totals(
+        monthly_totals(cleaned), bounds, requests, horizon, jitter, seed, policy
     )
