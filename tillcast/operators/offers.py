@@ -139,8 +139,7 @@ def _offers(
 def lookup_forecasts(requests: DataFrame, forecasts: DataFrame) -> DataFrame:
     """Requests with ``found`` and the merchant's forecasts in month order.
 
-    Forecasts are gathered to one row per merchant first, so the join is one to one
-    on that side and a merchant asked for very often can be split by AQE.
+    Forecasts are gathered to one row per merchant first, at most the horizon each.
     """
     gathered = forecasts.groupBy(MERCHANT).agg(
         F.sort_array(F.collect_list(F.struct(MONTH, PREDICTION))).alias("by_month")
@@ -157,6 +156,17 @@ def lookup_offers(requests: DataFrame, offers: DataFrame) -> DataFrame:
 
 
 def _look_up(requests: DataFrame, answers: DataFrame) -> DataFrame:
-    return requests.join(
-        answers.withColumn("found", F.lit(True)), MERCHANT, "left"
-    ).withColumn("found", F.coalesce("found", F.lit(False)))
+    """Left join that stays even when most requests are for one merchant.
+
+    AQE splits such a merchant's requests, but only where a join reads both sides
+    straight from a shuffle. Answers grouped by merchant would be joined as they
+    lie; the hash as a second key has them exchanged for the join.
+    """
+    key_hash = F.xxhash64(MERCHANT)
+    answered = answers.withColumns({"key_hash": key_hash, "found": F.lit(True)})
+    return (
+        requests.withColumn("key_hash", key_hash)
+        .join(answered, [MERCHANT, "key_hash"], "left")
+        .withColumn("found", F.coalesce("found", F.lit(False)))
+        .drop("key_hash")
+    )
