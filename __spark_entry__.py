@@ -365,7 +365,8 @@ SELECT m.*, currency_code, country_code
 FROM (
   SELECT CAST({key} AS VARCHAR) AS anonymous_uu_id,
          CAST(date_trunc('month', {date}) AS DATE) AS transaction_month_dt,
-         CAST(sum(CAST(round({amount} * 100) AS BIGINT)) AS DOUBLE) / 100 AS sales_amount,
+         CAST(sum(CAST(floor({amount} * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS DOUBLE) / 100
+           AS sales_amount,
          count(*) AS transaction_count
   FROM {table} GROUP BY 1, 2
 ) m LEFT JOIN codes USING (anonymous_uu_id)"""
@@ -405,7 +406,7 @@ SEGMENTS = {
     "panel": """
 SELECT c_mktsegment AS anonymous_uu_id, currency_code, country_code,
        CAST(date_trunc('month', o_orderdate) AS DATE) AS transaction_month_dt,
-       round(o_totalprice * 100) / 100 AS sales_amount
+       floor(o_totalprice * 100 + CAST(0.5 AS DOUBLE)) / 100 AS sales_amount
 FROM orders JOIN customer ON o_custkey = c_custkey
 JOIN codes ON anonymous_uu_id = CAST(c_custkey AS VARCHAR)""",
 }

@@ -10,8 +10,26 @@ from tillcast.operators.series import month_bounds
 from tillcast.schema import CODES, MERCHANT, MONTH_DT, RAW_COUNT, RAW_MONTH, RAW_SALES
 
 
+# The columns used, so that no file has to be opened to learn them.
+TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_nationkey INT, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_nationkey INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE,"
+    " o_orderdate TIMESTAMP_NTZ",
+    "lineitem": "l_suppkey BIGINT, l_extendedprice DOUBLE, l_discount DOUBLE,"
+    " l_shipdate TIMESTAMP_NTZ",
+}
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+
+
+def to_cents(amount: Column) -> Column:
+    """Amount in whole cents, half a cent up."""
+    return F.floor(amount * 100 + 0.5)
 
 
 def supplier_monthly(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +98,7 @@ def _monthly(rows: DataFrame, key: str, date: str, amount: Column) -> DataFrame:
         rows.select(
             F.col(key).cast("string").alias(MERCHANT),
             month_start(date).alias(MONTH_DT),
-            F.round(amount * 100).cast("bigint").alias("cents"),
+            to_cents(amount).alias("cents"),
         )
         .groupBy(MERCHANT, MONTH_DT)
         .agg(
@@ -123,7 +141,7 @@ def segment_orders(spark: SparkSession, folder: str) -> DataFrame:
         .select(
             F.col("o_custkey").cast("string").alias("customer"),
             month_start("o_orderdate").alias(MONTH_DT),
-            (F.round(F.col("o_totalprice") * 100) / 100.0).alias(RAW_SALES),
+            (to_cents(F.col("o_totalprice")) / 100.0).alias(RAW_SALES),
         )
         .join(places, "customer")
         .select(F.col("segment").alias(MERCHANT), *CODES, MONTH_DT, RAW_SALES)
