@@ -14,7 +14,7 @@ from tillcast.functions.lineage import cut_lineage
 from tillcast.operators.cleaning import clean_transactions, rejected_transactions
 from tillcast.operators.eligibility import asof_features, judge_eligibility, windowed_eligibility
 from tillcast.operators.encoding import encode_categories
-from tillcast.operators.evaluation import rmse, score_holdout, temporal_split
+from tillcast.operators.evaluation import rmse, score_holdout, split_cutoff, temporal_split
 from tillcast.operators.features import model_features
 from tillcast.operators.forecasting import mean_forecast, model_forecast
 from tillcast.operators.offers import (
@@ -23,7 +23,7 @@ from tillcast.operators.offers import (
     lookup_offers,
     score_offers,
 )
-from tillcast.operators.series import continuous_series
+from tillcast.operators.series import continuous_series, month_calendar
 from tillcast.operators.streaks import positive_streaks
 from tillcast.operators.training import train_forecaster
 from tillcast.plans.scoring import offers_from_transactions
@@ -55,6 +55,20 @@ def supplier_series(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def supplier_sales_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Without codes, for what does not use them."""
+    return continuous_series(
+        panels.supplier_sales(spark, folder), panels.supplier_bounds(spark, folder)
+    )
+
+
+def customer_sales_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Without codes, for what does not use them."""
+    return continuous_series(
+        panels.customer_sales(spark, folder), panels.customer_bounds(spark, folder)
+    )
+
+
 def customer_series(spark: SparkSession, folder: str) -> DataFrame:
     return continuous_series(
         panels.customer_monthly(spark, folder), panels.customer_bounds(spark, folder)
@@ -112,7 +126,7 @@ def category_onehot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def streaks(spark: SparkSession, folder: str) -> DataFrame:
-    return positive_streaks(customer_series(spark, folder))
+    return positive_streaks(customer_sales_series(spark, folder))
 
 
 def windowed(series: Query) -> Query:
@@ -128,12 +142,12 @@ def windowed(series: Query) -> Query:
 
 def supplier_features(spark: SparkSession, folder: str) -> DataFrame:
     as_of = panels.supplier_bounds(spark, folder).select("last_month")
-    return asof_features(supplier_series(spark, folder), as_of)
+    return asof_features(supplier_sales_series(spark, folder), as_of)
 
 
 def customer_features(spark: SparkSession, folder: str) -> DataFrame:
     as_of = panels.customer_bounds(spark, folder).select("last_month")
-    return asof_features(customer_series(spark, folder), as_of)
+    return asof_features(customer_sales_series(spark, folder), as_of)
 
 
 def asof(features: Query) -> Query:
@@ -169,7 +183,7 @@ def features_for_model(include_current: bool) -> Query:
 
 
 def supplier_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    return mean_forecast(supplier_series(spark, folder), jitter=0.0)
+    return mean_forecast(supplier_sales_series(spark, folder), jitter=0.0)
 
 
 def forecast(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,7 +192,7 @@ def forecast(spark: SparkSession, folder: str) -> DataFrame:
 
 def jittered_forecast(spark: SparkSession, folder: str) -> DataFrame:
     """Jittered forecasts against the mean: all within five per cent, not all equal."""
-    series = supplier_series(spark, folder)
+    series = supplier_sales_series(spark, folder)
     plain = mean_forecast(series, jitter=0.0).withColumnRenamed(PREDICTION, "plain")
     return (
         mean_forecast(series, jitter=0.05, seed=7)
@@ -200,7 +214,7 @@ def amounts(spark: SparkSession, folder: str) -> DataFrame:
 
 def supplier_offers(spark: SparkSession, folder: str) -> DataFrame:
     return offers_from_transactions(
-        panels.supplier_monthly(spark, folder), panels.supplier_bounds(spark, folder), jitter=0.0
+        panels.supplier_sales(spark, folder), panels.supplier_bounds(spark, folder), jitter=0.0
     )
 
 
@@ -214,13 +228,13 @@ def offers(spark: SparkSession, folder: str) -> DataFrame:
 
 def offers_from_series(spark: SparkSession, folder: str) -> DataFrame:
     as_of = panels.supplier_bounds(spark, folder).select("last_month")
-    scored = score_offers(supplier_series(spark, folder), as_of=as_of, jitter=0.0)
+    scored = score_offers(supplier_sales_series(spark, folder), as_of=as_of, jitter=0.0)
     return rounded(scored, "advance_amount")
 
 
 def offers_sparse(spark: SparkSession, folder: str) -> DataFrame:
     scored = offers_from_transactions(
-        panels.customer_monthly(spark, folder),
+        panels.customer_sales(spark, folder),
         panels.customer_bounds(spark, folder),
         jitter=0.0,
         policy=LENIENT,
@@ -255,8 +269,13 @@ def offer_lookup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def split_supplier_sales(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    calendar = month_calendar(panels.supplier_bounds(spark, folder))
+    return temporal_split(supplier_sales_series(spark, folder), cutoff=split_cutoff(calendar))
+
+
 def split_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = temporal_split(supplier_series(spark, folder))
+    train, test = split_supplier_sales(spark, folder)
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.agg(
@@ -271,7 +290,7 @@ def split_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 def naive_rmse(spark: SparkSession, folder: str) -> DataFrame:
     """Error of the training mean on the test months."""
-    train, test = temporal_split(supplier_series(spark, folder))
+    train, test = split_supplier_sales(spark, folder)
     means = mean_forecast(train, horizon=1, jitter=0.0).select(MERCHANT, PREDICTION)
     return rounded(rmse(test.join(means, MERCHANT)), "rmse")
 
@@ -321,8 +340,8 @@ def queries() -> dict[str, Query]:
         "category_index": category_index,
         "category_onehot": category_onehot,
         "positive_streaks": streaks,
-        "eligibility_windowed": windowed(supplier_series),
-        "eligibility_windowed_sparse": windowed(customer_series),
+        "eligibility_windowed": windowed(supplier_sales_series),
+        "eligibility_windowed_sparse": windowed(customer_sales_series),
         "eligibility_asof": asof(supplier_features),
         "eligibility_asof_sparse": asof(customer_features),
         "eligibility_verdict": verdict,

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from conftest import TRANSACTIONS, month, months
 from tillcast.operators.encoding import encode_categories
-from tillcast.operators.series import continuous_series, month_bounds, monthly_totals
+from tillcast.operators.series import (
+    continuous_series,
+    month_bounds,
+    month_calendar,
+    monthly_totals,
+)
 from tillcast.operators.streaks import positive_streaks
 
 
@@ -132,6 +137,11 @@ def test_optional_columns(spark, name):
     assert got.currency_code is None and got.country_code is None
 
 
+def test_calendar(with_gap):
+    got = month_calendar(month_bounds(with_gap)).collect()
+    assert [r.transaction_month for r in got] == months("2023-01", 3)
+
+
 def test_empty_input(spark):
     series = continuous_series(spark.createDataFrame([], TRANSACTIONS))
     assert series.count() == 0

@@ -15,7 +15,8 @@ def split_cutoff(series: DataFrame, test_fraction: float = 0.30) -> DataFrame:
     """One row: the first month of the test period.
 
     The test period is the last ``test_fraction`` of the distinct months, rounded down
-    but at least one. Only the months, not the rows, come together.
+    but at least one. Only the months, not the rows, come together. As a
+    continuous series has the months of its calendar, ``month_calendar`` will do for it.
     """
     months = F.sort_array(F.collect_set(MONTH))
     total = F.size("months")

@@ -28,6 +28,12 @@ def month_bounds(df: DataFrame, column: str = MONTH_DT) -> DataFrame:
     return df.agg(F.min(month).alias("first_month"), F.max(month).alias("last_month"))
 
 
+def month_calendar(bounds: DataFrame) -> DataFrame:
+    """Every month from the first to the last of the one-row ``bounds``."""
+    months = months_between_inclusive(F.col("first_month"), F.col("last_month"))
+    return bounds.select(F.explode(months).alias(MONTH))
+
+
 def monthly_totals(df: DataFrame) -> DataFrame:
     """The months in which a merchant has rows, with their sales; no gaps are filled.
 

@@ -32,39 +32,44 @@ def to_cents(amount: Column) -> Column:
     return F.floor(amount * 100 + 0.5)
 
 
-def supplier_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers as merchants: discounted line items by month of shipping."""
-    lines = read_table(spark, folder, "lineitem")
+def supplier_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as merchants: discounted line items by month of shipping, no codes."""
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return _monthly(read_table(spark, folder, "lineitem"), "l_suppkey", "l_shipdate", net)
+
+
+def supplier_monthly(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as merchants, with their codes."""
     suppliers = read_table(spark, folder, "supplier")
-    return _monthly(lines, "l_suppkey", "l_shipdate", net).join(
+    return supplier_sales(spark, folder).join(
         _codes(spark, folder, suppliers, "s_suppkey", "s_nationkey"), MERCHANT, "left"
     )
 
 
 def supplier_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    """First and last month of :func:`supplier_monthly`, from one column."""
+    """First and last month of :func:`supplier_sales`, from one column."""
     return month_bounds(read_table(spark, folder, "lineitem"), "l_shipdate")
 
 
-def customer_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers as merchants: order totals by month of ordering."""
+def customer_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as merchants: order totals by month of ordering, no codes."""
     orders = read_table(spark, folder, "orders")
-    customers = read_table(spark, folder, "customer")
-    return _monthly(orders, "o_custkey", "o_orderdate", F.col("o_totalprice")).join(
-        _codes(spark, folder, customers, "c_custkey", "c_nationkey"), MERCHANT, "left"
-    )
+    return _monthly(orders, "o_custkey", "o_orderdate", F.col("o_totalprice"))
+
+
+def customer_monthly(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as merchants, with their codes."""
+    return customer_sales(spark, folder).join(customer_codes(spark, folder), MERCHANT, "left")
 
 
 def customer_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    """First and last month of :func:`customer_monthly`, from one column."""
+    """First and last month of :func:`customer_sales`, from one column."""
     return month_bounds(read_table(spark, folder, "orders"), "o_orderdate")
 
 
 def customer_raw_text(spark: SparkSession, folder: str) -> DataFrame:
     """Every order as a raw text row, some fields of it spoilt by order key."""
     orders = read_table(spark, folder, "orders")
-    customers = read_table(spark, folder, "customer")
 
     def spoilt(every: int, bad: str | None, good: Column) -> Column:
         return F.when(F.col("o_orderkey") % every == 0, F.lit(bad)).otherwise(good)
@@ -77,9 +82,7 @@ def customer_raw_text(spark: SparkSession, folder: str) -> DataFrame:
         spoilt(19, None, F.lit("1")).alias(RAW_COUNT),
         (F.col("o_orderkey") % 29 == 0).alias("anonymous"),
     ).join(
-        _codes(spark, folder, customers, "c_custkey", "c_nationkey").withColumnRenamed(
-            MERCHANT, "customer"
-        ),
+        customer_codes(spark, folder).withColumnRenamed(MERCHANT, "customer"),
         "customer",
         "left",
     ).select(
@@ -134,7 +137,7 @@ def segment_orders(spark: SparkSession, folder: str) -> DataFrame:
     segments = customers.select(
         F.col("c_custkey").cast("string").alias("customer"), F.col("c_mktsegment").alias("segment")
     )
-    codes = _codes(spark, folder, customers, "c_custkey", "c_nationkey")
+    codes = customer_codes(spark, folder)
     places = segments.join(codes, F.col("customer") == F.col(MERCHANT)).drop(MERCHANT)
     return (
         read_table(spark, folder, "orders")
