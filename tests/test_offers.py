@@ -99,6 +99,17 @@ def test_forecast_lookup(cleaned, requests):
     assert got["non_existent_merchant"].forecasted_sales is None
 
 
+def test_numbers_ask_for_names(spark):
+    forecasts = spark.createDataFrame([("7", month("2024-01"), 1.5)], FORECASTS)
+    asked = spark.createDataFrame([(7,), (8,), (None,)], "anonymous_uu_id bigint")
+    found = {r.anonymous_uu_id: r.found for r in lookup_forecasts(asked, forecasts).collect()}
+    assert {k if k is None else int(k): v for k, v in found.items()} == {
+        7: True,
+        8: False,
+        None: False,
+    }
+
+
 def test_lookups_keep_every_request(spark, cleaned):
     asked = spark.createDataFrame(
         [(k, "merchant_A" if k % 3 else f"x{k}") for k in range(300)],

@@ -162,7 +162,7 @@ def _look_up(requests: DataFrame, answers: DataFrame) -> DataFrame:
     straight from a shuffle. Answers grouped by merchant would be joined as they
     lie; the hash as a second key has them exchanged for the join.
     """
-    key_hash = F.xxhash64(MERCHANT)
+    key_hash = F.xxhash64(F.col(MERCHANT).cast("string"))
     answered = answers.withColumns({"key_hash": key_hash, "found": F.lit(True)})
     return (
         requests.withColumn("key_hash", key_hash)

@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tillcast.operators.cleaning import clean_transactions
 from tillcast.operators.forecasting import mean_forecast
 from tillcast.operators.offers import score_offers_from_totals
-from tillcast.operators.series import continuous_series, month_bounds, monthly_totals
+from tillcast.operators.series import month_bounds, monthly_totals
+from tillcast.plans.preparation import series_from_raw
 from tillcast.schema import HORIZON_MONTHS, AdvancePolicy
 
 
-def series_from_raw(raw: DataFrame) -> DataFrame:
-    """Raw transactions to a continuous series."""
-    return continuous_series(clean_transactions(raw))
-
-
 def forecast_all(
     raw: DataFrame, horizon: int = HORIZON_MONTHS, jitter: float = 0.05, seed: int = 0
 ) -> DataFrame:

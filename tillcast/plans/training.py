@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from tillcast.functions.lineage import cut_lineage
 from tillcast.operators.evaluation import evaluate, split_cutoff, temporal_split
 from tillcast.operators.training import load_model, save_model, train_forecaster
-from tillcast.plans.scoring import series_from_raw
+from tillcast.plans.preparation import series_from_raw
 from tillcast.sources.transactions import read_raw_transactions
 
 

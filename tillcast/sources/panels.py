@@ -33,15 +33,15 @@ def to_cents(amount: Column) -> Column:
 
 
 def supplier_sales(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers as merchants: discounted line items by month of shipping, no codes."""
+    """Suppliers as merchants: one row per line item, no codes."""
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return _monthly(read_table(spark, folder, "lineitem"), "l_suppkey", "l_shipdate", net)
+    return _sales(read_table(spark, folder, "lineitem"), "l_suppkey", "l_shipdate", net)
 
 
 def supplier_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers as merchants, with their codes."""
+    """Suppliers as merchants: sales by month of shipping, with codes."""
     suppliers = read_table(spark, folder, "supplier")
-    return supplier_sales(spark, folder).join(
+    return _monthly(supplier_sales(spark, folder)).join(
         _codes(spark, folder, suppliers, "s_suppkey", "s_nationkey"), MERCHANT, "left"
     )
 
@@ -52,14 +52,16 @@ def supplier_bounds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customer_sales(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers as merchants: order totals by month of ordering, no codes."""
+    """Customers as merchants: one row per order, no codes."""
     orders = read_table(spark, folder, "orders")
-    return _monthly(orders, "o_custkey", "o_orderdate", F.col("o_totalprice"))
+    return _sales(orders, "o_custkey", "o_orderdate", F.col("o_totalprice"))
 
 
 def customer_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers as merchants, with their codes."""
-    return customer_sales(spark, folder).join(customer_codes(spark, folder), MERCHANT, "left")
+    """Customers as merchants: sales by month of ordering, with codes."""
+    return _monthly(customer_sales(spark, folder)).join(
+        customer_codes(spark, folder), MERCHANT, "left"
+    )
 
 
 def customer_bounds(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,19 +97,18 @@ def customer_raw_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _monthly(rows: DataFrame, key: str, date: str, amount: Column) -> DataFrame:
-    """Sums by merchant and month, in whole cents so that they are exact in any order."""
-    return (
-        rows.select(
-            F.col(key).cast("string").alias(MERCHANT),
-            month_start(date).alias(MONTH_DT),
-            to_cents(amount).alias("cents"),
-        )
-        .groupBy(MERCHANT, MONTH_DT)
-        .agg(
-            (F.sum("cents") / 100.0).alias(RAW_SALES),
-            F.count(F.lit(1)).alias(RAW_COUNT),
-        )
+def _sales(rows: DataFrame, key: str, date: str, amount: Column) -> DataFrame:
+    return rows.select(
+        F.col(key).cast("string").alias(MERCHANT),
+        month_start(date).alias(MONTH_DT),
+        (to_cents(amount) / 100.0).alias(RAW_SALES),
+    )
+
+
+def _monthly(sales: DataFrame) -> DataFrame:
+    """Sums before the join with the codes, so that no single rows are shuffled for it."""
+    return sales.groupBy(MERCHANT, MONTH_DT).agg(
+        F.sum(RAW_SALES).alias(RAW_SALES), F.count(F.lit(1)).alias(RAW_COUNT)
     )
 
 
