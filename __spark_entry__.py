@@ -16,7 +16,11 @@ from tillcast.operators.eligibility import asof_features, judge_eligibility, win
 from tillcast.operators.encoding import encode_categories
 from tillcast.operators.evaluation import rmse, score_holdout, split_cutoff, temporal_split
 from tillcast.operators.features import model_features
-from tillcast.operators.forecasting import mean_forecast, model_forecast
+from tillcast.operators.forecasting import (
+    mean_forecast,
+    mean_forecast_from_transactions,
+    model_forecast,
+)
 from tillcast.operators.offers import (
     advance_amounts,
     lookup_forecasts,
@@ -26,7 +30,7 @@ from tillcast.operators.offers import (
 from tillcast.operators.series import continuous_series, month_calendar
 from tillcast.operators.streaks import positive_streaks
 from tillcast.operators.training import train_forecaster
-from tillcast.plans.scoring import offers_from_transactions
+from tillcast.plans.scoring import forecast_all, offers_from_transactions
 from tillcast.schema import (
     CODES,
     HORIZON_MONTHS,
@@ -190,6 +194,22 @@ def forecast(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(supplier_forecast(spark, folder), PREDICTION)
 
 
+def supplier_forecast_direct(spark: SparkSession, folder: str) -> DataFrame:
+    return mean_forecast_from_transactions(
+        panels.supplier_sales(spark, folder), panels.supplier_bounds(spark, folder), jitter=0.0
+    )
+
+
+def forecast_direct(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(supplier_forecast_direct(spark, folder), PREDICTION)
+
+
+def forecast_dirty(spark: SparkSession, folder: str) -> DataFrame:
+    """Six decimals: a cent over 80 months ends exactly there, four would be a tie."""
+    forecasts = forecast_all(panels.customer_raw_text(spark, folder), jitter=0.0)
+    return forecasts.withColumn(PREDICTION, F.round(PREDICTION, 6))
+
+
 def jittered_forecast(spark: SparkSession, folder: str) -> DataFrame:
     """Jittered forecasts against the mean: all within five per cent, not all equal."""
     series = supplier_sales_series(spark, folder)
@@ -209,7 +229,7 @@ def jittered_forecast(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def amounts(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(advance_amounts(supplier_forecast(spark, folder)), "advance_amount")
+    return rounded(advance_amounts(supplier_forecast_direct(spark, folder)), "advance_amount")
 
 
 def supplier_offers(spark: SparkSession, folder: str) -> DataFrame:
@@ -250,7 +270,9 @@ def order_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def forecast_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    answers = lookup_forecasts(order_requests(spark, folder), supplier_forecast(spark, folder))
+    answers = lookup_forecasts(
+        order_requests(spark, folder), supplier_forecast_direct(spark, folder)
+    )
     months = {
         f"forecast_{k}": F.round(F.get("forecasted_sales", F.lit(k - 1)), 4)
         for k in range(1, HORIZON_MONTHS + 1)
@@ -348,6 +370,8 @@ def queries() -> dict[str, Query]:
         "model_features": features_for_model(include_current=True),
         "model_features_known_only": features_for_model(include_current=False),
         "mean_forecast": forecast,
+        "mean_forecast_direct": forecast_direct,
+        "mean_forecast_dirty": forecast_dirty,
         "jittered_forecast": jittered_forecast,
         "advance_amounts": amounts,
         "offers": offers,
@@ -693,6 +717,14 @@ FROM codes JOIN country_slots USING (country_code)""",
             supplier | FORECAST,
             "SELECT * REPLACE (round(prediction, 4) AS prediction) FROM forecasts",
         ),
+        "mean_forecast_direct": _with(
+            supplier | FORECAST,
+            "SELECT * REPLACE (round(prediction, 4) AS prediction) FROM forecasts",
+        ),
+        "mean_forecast_dirty": _with(
+            DIRTY | SERIES | FORECAST,
+            "SELECT * REPLACE (round(prediction, 6) AS prediction) FROM forecasts",
+        ),
         "jittered_forecast": _with(
             supplier | FORECAST,
             """

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from conftest import TRANSACTIONS, month, months
 from tillcast.operators.features import FEATURES, model_features
-from tillcast.operators.forecasting import mean_forecast, model_forecast
+from tillcast.operators.forecasting import (
+    mean_forecast,
+    mean_forecast_from_transactions,
+    model_forecast,
+)
 from tillcast.operators.encoding import encode_categories
 from tillcast.operators.series import continuous_series
 
@@ -62,6 +66,28 @@ def test_mean_forecast(history):
     assert [r.prediction for r in rows] == pytest.approx([1860 / 12] * 6 + [180 / 12] * 6)
 
 
+def test_mean_forecast_needs_no_series(spark):
+    rows = [
+        ("a", "USD", "US", month("2023-01"), 10.0, 1),
+        ("a", "USD", "US", month("2023-04"), 2.0, 1),
+        ("a", "EUR", "FR", month("2023-04"), float("nan"), 1),
+        ("a", "USD", "US", None, 99.0, 1),
+        ("b", "USD", "US", None, 5.0, 1),
+        ("c", "USD", "US", month("2023-02"), -7.0, 1),
+        (None, "USD", "US", month("2023-02"), 7.0, 1),
+    ]
+    df = spark.createDataFrame(rows, TRANSACTIONS)
+    for jitter in (0.0, 0.05):
+        direct = mean_forecast_from_transactions(df, jitter=jitter)
+        assert sorted(direct.collect()) == sorted(
+            mean_forecast(continuous_series(df), jitter=jitter).collect()
+        )
+    assert direct.where("anonymous_uu_id = 'a' and prediction > 0").count() == 6
+    plan = mean_forecast_from_transactions(df)._jdf.queryExecution().executedPlan().toString()
+    main = [line for line in plan.splitlines() if not line.lstrip().startswith(":")]
+    assert sum("Exchange hashpartitioning" in line for line in main) == 1
+
+
 def test_mean_forecast_horizon(history):
     assert mean_forecast(history, horizon=1, jitter=0.0).count() == 2
     with pytest.raises(ValueError):

@@ -29,6 +29,11 @@ def month_number(column: str | Column) -> Column:
     return F.year(column) * 12 + F.month(column)
 
 
+def calendar_months(first: Column, last: Column) -> Column:
+    """How many months there are from ``first`` to ``last``, both counted."""
+    return month_number(last) - month_number(first) + 1
+
+
 def months_between_inclusive(first: Column, last: Column) -> Column:
     """Array of every month from ``first`` to ``last``; null if that is no range."""
     return F.when(first <= last, F.sequence(first, last, F.expr("INTERVAL '1' MONTH")))

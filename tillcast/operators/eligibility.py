@@ -12,7 +12,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.functions.months import month_number
+from tillcast.functions.months import calendar_months, month_number
 from tillcast.schema import MERCHANT, MONTH, SALES, AdvancePolicy, WindowedPolicy
 
 AsOf = datetime.date | str | Column | DataFrame | None
@@ -175,10 +175,5 @@ def asof_aggregates(as_of: Column, first_month: Column | None = None) -> list[Co
     ]
 
 
-def calendar_months(first: Column, last: Column) -> Column:
-    """How many months there are from ``first`` to ``last``."""
-    return month_number(last) - month_number(first) + 1
-
-
 def _mean_where(condition: Column) -> Column:
     return F.avg(F.when(condition, F.col(SALES)))

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions.amounts import jitter_factor, not_below_zero
-from tillcast.functions.months import next_months
+from tillcast.functions.months import calendar_months, next_months
 from tillcast.operators.features import AVERAGES, LAGS, calendar_features
+from tillcast.operators.series import calendar_ends, month_bounds, sales_rows
 from tillcast.schema import CODES, HORIZON_MONTHS, MERCHANT, MONTH, PREDICTION, SALES
 
 _KNOWN = 6  # months of history the longest moving average needs
@@ -24,21 +25,48 @@ def mean_forecast(
     ``jitter`` varies each month by up to that share. One grouped pass; the
     months are made from its result.
     """
-    _check_horizon(horizon)
-    return (
-        series.groupBy(MERCHANT)
-        .agg(F.avg(SALES).alias("mean_sales"), F.max(MONTH).alias("latest_month"))
-        .select(
-            MERCHANT, "mean_sales", F.explode(next_months(F.col("latest_month"), horizon)).alias(MONTH)
-        )
+    means = series.groupBy(MERCHANT).agg(
+        F.avg(SALES).alias("mean_sales"), F.max(MONTH).alias("latest_month")
+    )
+    return _from_means(means, horizon, jitter, seed)
+
+
+def mean_forecast_from_transactions(
+    cleaned: DataFrame,
+    bounds: DataFrame | None = None,
+    horizon: int = HORIZON_MONTHS,
+    jitter: float = 0.05,
+    seed: int = 0,
+) -> DataFrame:
+    """The forecast of :func:`mean_forecast` without building the series.
+
+    The mean over a continuous series is a merchant's sales by the months of the calendar
+    (one-row ``bounds``, by default that of ``cleaned``): one sum per merchant,
+    combined before the only shuffle.
+    """
+    first_month, last_month = calendar_ends(month_bounds(cleaned) if bounds is None else bounds)
+    months = calendar_months(first_month, last_month)
+    means = (
+        sales_rows(cleaned)
+        .groupBy(MERCHANT)
+        .agg(F.sum(SALES).alias("total"))
         .select(
             MERCHANT,
-            MONTH,
-            mean_prediction(
-                F.col("mean_sales"), F.col(MERCHANT), F.col(MONTH), jitter, seed
-            ).alias(PREDICTION),
+            (F.col("total") / months).alias("mean_sales"),
+            last_month.alias("latest_month"),
         )
     )
+    return _from_means(means, horizon, jitter, seed)
+
+
+def _from_means(means: DataFrame, horizon: int, jitter: float, seed: int) -> DataFrame:
+    _check_horizon(horizon)
+    prediction = mean_prediction(
+        F.col("mean_sales"), F.col(MERCHANT), F.col(MONTH), jitter, seed
+    )
+    return means.select(
+        MERCHANT, "mean_sales", F.explode(next_months(F.col("latest_month"), horizon)).alias(MONTH)
+    ).select(MERCHANT, MONTH, prediction.alias(PREDICTION))
 
 
 def mean_prediction(

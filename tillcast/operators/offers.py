@@ -8,16 +8,17 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.functions.months import calendar_months
 from tillcast.operators.eligibility import (
     REASONS,
     AsOf,
     as_of_column,
     asof_aggregates,
-    calendar_months,
     verdict_columns,
     with_latest_run,
 )
 from tillcast.operators.forecasting import mean_prediction
+from tillcast.operators.series import calendar_ends
 from tillcast.schema import (
     HORIZON_MONTHS,
     MERCHANT,
@@ -94,8 +95,7 @@ def score_offers_from_totals(
     nothing to a sum, so they are counted from the calendar instead of being
     made, sorted and thrown away.
     """
-    span = bounds.select(F.struct(F.col("first_month"), F.col("last_month"))).scalar()
-    first_month, as_of = span.getField("first_month"), span.getField("last_month")
+    first_month, as_of = calendar_ends(bounds)
     measures = (
         with_latest_run(totals, as_of)
         .groupBy(MERCHANT)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions.months import month_start, months_between_inclusive
@@ -41,10 +41,9 @@ def monthly_totals(df: DataFrame) -> DataFrame:
     merchant stays known.
     """
     return (
-        _with_series_inputs(df)
+        sales_rows(df)
         .groupBy(MERCHANT, MONTH)
         .agg(F.sum(SALES).alias(SALES))
-        .withColumn(SALES, F.when(F.col(MONTH).isNull(), F.lit(0.0)).otherwise(F.col(SALES)))
     )
 
 
@@ -68,12 +67,11 @@ def continuous_series(df: DataFrame, bounds: DataFrame | None = None) -> DataFra
     result is partitioned by merchant, which the operators on it reuse.
     """
     bounds = month_bounds(df) if bounds is None else bounds
-    span = bounds.select(F.struct(F.col("first_month"), F.col("last_month"))).scalar()
-    first_month, last_month = span.getField("first_month"), span.getField("last_month")
+    first_month, last_month = calendar_ends(bounds)
 
     extras = [c for c in (*INDEXED, *ENCODED) if c in df.columns]
     monthly = (
-        _with_series_inputs(df)
+        sales_rows(df)
         .groupBy(MERCHANT, MONTH, *CODES)
         .agg(F.sum(SALES).alias(SALES), *[F.any_value(c, True).alias(c) for c in extras])
     )
@@ -114,8 +112,14 @@ def continuous_series(df: DataFrame, bounds: DataFrame | None = None) -> DataFra
     )
 
 
-def _with_series_inputs(df: DataFrame) -> DataFrame:
+def sales_rows(df: DataFrame) -> DataFrame:
+    """Rows with a merchant, in the columns a series is made of.
+
+    Unknown sales are zero, and so are those of rows without a month: they belong
+    nowhere in the calendar.
+    """
     sales = next((F.col(c) for c in (SALES, RAW_SALES) if c in df.columns), F.lit(0.0))
+    known = F.coalesce(F.nanvl(sales.cast("double"), F.lit(0.0)), F.lit(0.0))
     codes = [
         (F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in CODES
     ]
@@ -123,7 +127,13 @@ def _with_series_inputs(df: DataFrame) -> DataFrame:
     return df.where(F.col(MERCHANT).isNotNull()).select(
         MERCHANT,
         month_start(MONTH_DT).alias(MONTH),
-        F.coalesce(F.nanvl(sales.cast("double"), F.lit(0.0)), F.lit(0.0)).alias(SALES),
+        F.when(F.col(MONTH_DT).isNotNull(), known).otherwise(F.lit(0.0)).alias(SALES),
         *codes,
         *extras,
     )
+
+
+def calendar_ends(bounds: DataFrame) -> tuple[Column, Column]:
+    """The two months of the one-row ``bounds`` as scalar subqueries."""
+    span = bounds.select(F.struct(F.col("first_month"), F.col("last_month"))).scalar()
+    return span.getField("first_month"), span.getField("last_month")

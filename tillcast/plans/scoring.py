@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tillcast.operators.forecasting import mean_forecast
+from tillcast.operators.cleaning import clean_transactions
+from tillcast.operators.forecasting import mean_forecast_from_transactions
 from tillcast.operators.offers import score_offers_from_totals
 from tillcast.operators.series import month_bounds, monthly_totals
-from tillcast.plans.preparation import series_from_raw
 from tillcast.schema import HORIZON_MONTHS, AdvancePolicy
 
 
@@ -15,7 +15,9 @@ def forecast_all(
     raw: DataFrame, horizon: int = HORIZON_MONTHS, jitter: float = 0.05, seed: int = 0
 ) -> DataFrame:
     """Mean forecasts of every merchant."""
-    return mean_forecast(series_from_raw(raw), horizon, jitter, seed)
+    return mean_forecast_from_transactions(
+        clean_transactions(raw), horizon=horizon, jitter=jitter, seed=seed
+    )
 
 
 def offers_from_transactions(
