@@ -10,7 +10,7 @@ from tillcast.operators.offers import (
     lookup_offers,
     score_offers,
 )
-from tillcast.operators.series import continuous_series
+from tillcast.operators.series import continuous_series, month_bounds
 from tillcast.plans.scoring import forecast_all, offers_from_transactions
 from tillcast.sources.tables import publish, read_published
 from tillcast.streaming.requests import read_requests, write_answers
@@ -179,3 +179,26 @@ def test_streamed_requests(spark, tmp_path, cleaned):
     (inbox / "2.json").write_text('{"anonymous_uu_id": "nobody"}\n')
     got = serve()
     assert set(got) == {"merchant_A", "nobody"} and got["nobody"].found is False
+
+
+def test_published_table_is_replaced(spark, tmp_path, cleaned):
+    path = str(tmp_path / "offers")
+    offers = offers_from_transactions(cleaned, jitter=0.0)
+    publish(offers.limit(1), path)
+    publish(offers, path)
+    assert sorted(read_published(spark, path).collect()) == sorted(offers.collect())
+
+
+def test_one_merchant_is_filtered_in_the_scan(spark, tmp_path, cleaned):
+    """The calendar still reads all merchants, the rest only the one asked for."""
+    path = str(tmp_path / "cleaned")
+    cleaned.write.parquet(path)
+    stored = spark.read.parquet(path)
+    as_of = month_bounds(stored).select("last_month")
+    everything = score_offers(continuous_series(stored), as_of=as_of, jitter=0.0)
+    for offers in (everything, offers_from_transactions(stored, jitter=0.0)):
+        one = offers.where("anonymous_uu_id = 'merchant_A'")
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line and "sales" in line]
+        assert scans and all("EqualTo(anonymous_uu_id,merchant_A)" in scan for scan in scans)
+        assert one.first().is_eligible

@@ -107,6 +107,12 @@ def test_given_encoder_is_used(series):
     assert small.stages[0].stages[0].uid == encoder.stages[0].uid
 
 
+def test_keys_are_not_encoded(spark):
+    df = spark.range(500).selectExpr("string(id) AS currency_code", "'US' AS country_code")
+    with pytest.raises(ValueError, match="currency_code$"):
+        fit_encoder(df, max_labels=100)
+
+
 @pytest.mark.parametrize(
     "total, fraction, cutoff",
     [(10, 0.30, "2021-08"), (3, 0.30, "2021-03"), (1, 0.30, "2021-01"), (30, 0.30, "2022-10")],

@@ -7,17 +7,25 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tillcast.schema import CODES
 
 
-def fit_encoder(df: DataFrame, columns: Sequence[str] = CODES) -> PipelineModel:
+def fit_encoder(
+    df: DataFrame, columns: Sequence[str] = CODES, max_labels: int = 10_000
+) -> PipelineModel:
     """Learn the labels of ``columns``: most frequent first, ties by name.
 
-    The labels of each column go into the model, so use it on code lists, not on
-    keys. Null and unknown codes are kept as an all-zero vector; every known
-    label has its own slot (``dropLast`` drops the slot for unknown ones).
+    Null and unknown codes are kept as an all-zero vector; every known label has its
+    own slot (``dropLast`` drops the slot for unknown ones). The labels go into the
+    model and with it to every task, so a column with more than about ``max_labels``
+    is refused: it is a key, not a code.
     """
+    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    keys = [c for c in columns if counts[c] > max_labels]
+    if keys:
+        raise ValueError(f"too many labels to encode: {', '.join(keys)}")
     indexed = [f"{c}_indexed" for c in columns]
     encoded = [f"{c}_encoded" for c in columns]
     indexer = StringIndexer(inputCols=list(columns), outputCols=indexed, handleInvalid="keep")

@@ -114,7 +114,10 @@ def model_forecast(
 
 
 def _latest_state(series: DataFrame) -> DataFrame:
-    """One row per merchant: latest month, last known codes, last six sales."""
+    """One row per merchant: latest month, last known codes, last six sales.
+
+    Older months matter only where they have codes.
+    """
     age = F.row_number().over(Window.partitionBy(MERCHANT).orderBy(F.col(MONTH).desc()))
     last_codes = [
         F.max_by(c, F.when(F.col(c).isNotNull(), F.col(MONTH))).alias(c) for c in CODES
@@ -125,6 +128,7 @@ def _latest_state(series: DataFrame) -> DataFrame:
     ]
     return (
         series.select(MERCHANT, MONTH, SALES, *CODES, age.alias("age"))
+        .where((F.col("age") <= _KNOWN) | F.coalesce(*CODES).isNotNull())
         .groupBy(MERCHANT)
         .agg(F.max(MONTH).alias("latest_month"), *last_codes, *last_sales)
     )
