@@ -20,6 +20,7 @@ from tillcast.operators.forecasting import (
     mean_forecast,
     mean_forecast_from_transactions,
     model_forecast,
+    model_forecast_from_transactions,
 )
 from tillcast.operators.offers import (
     advance_amounts,
@@ -326,19 +327,30 @@ RULE = (
 )
 
 
+def rule_model() -> PipelineModel:
+    rule = SQLTransformer(statement=f"SELECT *, {RULE} AS {PREDICTION} FROM __THIS__")
+    return PipelineModel(stages=[rule])
+
+
 def recursive_forecast(include_current: bool) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        rule = SQLTransformer(statement=f"SELECT *, {RULE} AS {PREDICTION} FROM __THIS__")
         forecasts = model_forecast(
-            customer_series(spark, folder),
-            PipelineModel(stages=[rule]),
-            include_current=include_current,
+            customer_series(spark, folder), rule_model(), include_current=include_current
         )
         return rounded(forecasts, PREDICTION)
 
     return query
 
 
+def recursive_forecast_direct(spark: SparkSession, folder: str) -> DataFrame:
+    forecasts = model_forecast_from_transactions(
+        panels.customer_monthly(spark, folder),
+        rule_model(),
+        panels.customer_bounds(spark, folder),
+    )
+    return rounded(forecasts, PREDICTION)
+
+
 def trained_forecast(spark: SparkSession, folder: str) -> DataFrame:
     series = cut_lineage(supplier_series(spark, folder))
     model = train_forecaster(series, depths=(3,), trees=(5,))
@@ -383,6 +395,7 @@ def queries() -> dict[str, Query]:
         "naive_rmse": naive_rmse,
         "recursive_forecast": recursive_forecast(include_current=True),
         "recursive_forecast_known_only": recursive_forecast(include_current=False),
+        "recursive_forecast_direct": recursive_forecast_direct,
         "model_forecast": trained_forecast,
         "model_holdout_rmse": trained_rmse,
     }
@@ -794,4 +807,5 @@ WHERE transaction_month >= cut""",
         ),
         "recursive_forecast": _recursive_sql(include_current=True),
         "recursive_forecast_known_only": _recursive_sql(include_current=False),
+        "recursive_forecast_direct": _recursive_sql(include_current=True),
     }

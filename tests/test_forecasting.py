@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
@@ -11,6 +13,7 @@ from tillcast.operators.forecasting import (
     mean_forecast,
     mean_forecast_from_transactions,
     model_forecast,
+    model_forecast_from_transactions,
 )
 from tillcast.operators.encoding import encode_categories
 from tillcast.operators.series import continuous_series
@@ -162,6 +165,36 @@ def test_recursive_forecast_by_hand(history, rule, include_current):
         assert got == by_hand(sales, "2024-01", 8, include_current)
 
 
+@pytest.mark.parametrize("length", [2, 3, 5, 9])
+@pytest.mark.parametrize("include_current", [True, False])
+def test_recursive_forecast_needs_no_series(spark, length, include_current):
+    rng = random.Random(length)
+    codes = [("USD", "US"), ("EUR", "FRA"), (None, "GB"), ("EUR", None), (None, None)]
+    rows = [
+        (f"m{k}", *rng.choice(codes), m, float(rng.choice([-50, 0, 40, 90])), 1)
+        for k in range(30)
+        for m in rng.choices(months("2023-05", length), k=rng.randint(1, 2 * length))
+    ] + [("never", "USD", "US", None, 5.0, 1)]
+    df = spark.createDataFrame(rows, TRANSACTIONS)
+    rule = PipelineModel(
+        stages=[
+            SQLTransformer(
+                statement="SELECT *, sales_lag_1 - sales_lag_3 / 3 + ma_3_months + ma_6_months / 7"
+                " + coalesce(length(currency_code), 0) * 5 + coalesce(length(country_code), 0)"
+                " AS prediction FROM __THIS__"
+            )
+        ]
+    )
+    expected = model_forecast(continuous_series(df), rule, include_current=include_current)
+    got = model_forecast_from_transactions(df, rule, include_current=include_current)
+
+    def result(forecast):
+        return {(r[0], r[1]): pytest.approx(r[2]) for r in forecast.collect()}
+
+    assert result(got) == result(expected)
+    assert got.where("prediction is null").count() == (6 * 31 if length < 3 else 0)
+
+
 def test_short_history(transactions, rule):
     df = continuous_series(transactions(("m", months("2023-01", 2), [1, 2])))
     rows = model_forecast(df, rule).collect()

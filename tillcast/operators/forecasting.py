@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 from tillcast.functions.amounts import jitter_factor, not_below_zero
 from tillcast.functions.months import calendar_months, next_months
 from tillcast.operators.features import AVERAGES, LAGS, calendar_features
-from tillcast.operators.series import calendar_ends, month_bounds, sales_rows
+from tillcast.operators.series import (
+    calendar_ends,
+    merchant_months,
+    month_bounds,
+    sales_rows,
+)
 from tillcast.schema import CODES, HORIZON_MONTHS, MERCHANT, MONTH, PREDICTION, SALES
 
-_KNOWN = 6  # months of history the longest moving average needs
+# Sales of the latest month, the one before and so on: what the longest average needs.
+_KNOWN = tuple(f"known_{k}" for k in range(1, 7))
 
 
 def mean_forecast(
@@ -91,13 +97,45 @@ def model_forecast(
     average that would include it is over the months before it only. Merchants
     with less than three months of history get null forecasts.
     """
+    return _forecast_from_state(_latest_state(series), model, horizon, include_current)
+
+
+def model_forecast_from_transactions(
+    cleaned: DataFrame,
+    model: PipelineModel,
+    bounds: DataFrame | None = None,
+    horizon: int = HORIZON_MONTHS,
+    include_current: bool = True,
+) -> DataFrame:
+    """The forecast of :func:`model_forecast` without building the series.
+
+    The last six months are known from the calendar (one-row ``bounds``, by default that
+    of ``cleaned``), so those without rows need not be made to find them.
+    """
+    first_month, last_month = calendar_ends(month_bounds(cleaned) if bounds is None else bounds)
+
+    def known(k: int) -> Column:
+        month = F.add_months(last_month, 1 - k)
+        sales = F.coalesce(F.max(F.when(F.col(MONTH) == month, F.col(SALES))), F.lit(0.0))
+        return F.when(month >= first_month, sales).alias(_KNOWN[k - 1])
+
+    state = (
+        merchant_months(cleaned)
+        .groupBy(MERCHANT)
+        .agg(*_last_codes(), *[known(k) for k in range(1, len(_KNOWN) + 1)])
+        .withColumn("latest_month", last_month)
+    )
+    return _forecast_from_state(state, model, horizon, include_current)
+
+
+def _forecast_from_state(
+    state: DataFrame, model: PipelineModel, horizon: int, include_current: bool
+) -> DataFrame:
     _check_horizon(horizon)
-    state = _latest_state(series)
-    known = [f"known_{k}" for k in range(1, _KNOWN + 1)]
     base = state.columns
     forecasts: list[str] = []
     for step in range(1, horizon + 1):
-        history = [F.col(c) for c in (*reversed(forecasts), *known)]
+        history = [F.col(c) for c in (*reversed(forecasts), *_KNOWN)]
         name = f"forecast_{step}"
         predicted = model.transform(
             state.withColumns(_step_features(history, step, include_current))
@@ -119,21 +157,22 @@ def _latest_state(series: DataFrame) -> DataFrame:
     Older months matter only where they have codes.
     """
     age = F.row_number().over(Window.partitionBy(MERCHANT).orderBy(F.col(MONTH).desc()))
-    last_codes = [
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(MONTH))).alias(c) for c in CODES
-    ]
     last_sales = [
-        F.max(F.when(F.col("age") == k, F.col(SALES))).alias(f"known_{k}")
-        for k in range(1, _KNOWN + 1)
+        F.max(F.when(F.col("age") == k, F.col(SALES))).alias(name)
+        for k, name in enumerate(_KNOWN, start=1)
     ]
     return (
         series.select(MERCHANT, MONTH, SALES, *CODES, age.alias("age"))
-        .where((F.col("age") <= _KNOWN) | F.coalesce(*CODES).isNotNull())
+        .where((F.col("age") <= len(_KNOWN)) | F.coalesce(*CODES).isNotNull())
         .groupBy(MERCHANT)
-        .agg(F.max(MONTH).alias("latest_month"), *last_codes, *last_sales)
+        .agg(F.max(MONTH).alias("latest_month"), *_last_codes(), *last_sales)
     )
 
 
+def _last_codes() -> list[Column]:
+    return [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(MONTH))).alias(c) for c in CODES]
+
+
 def _step_features(
     history: Sequence[Column], step: int, include_current: bool
 ) -> dict[str, Column]:

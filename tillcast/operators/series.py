@@ -47,6 +47,32 @@ def monthly_totals(df: DataFrame) -> DataFrame:
     )
 
 
+def merchant_months(df: DataFrame) -> DataFrame:
+    """One row per merchant and month with rows, and the codes kept for it.
+
+    The observed part of :func:`continuous_series`, with a null month as in
+    :func:`monthly_totals`. The result is partitioned by merchant.
+    """
+    extras = [c for c in (*INDEXED, *ENCODED) if c in df.columns]
+    monthly = (
+        sales_rows(df)
+        .groupBy(MERCHANT, MONTH, *CODES)
+        .agg(F.sum(SALES).alias(SALES), *[F.any_value(c, True).alias(c) for c in extras])
+    )
+
+    # The window by merchant comes first: its partitioning and order serve the others.
+    by_weight = Window.partitionBy(MERCHANT).orderBy(
+        F.col(MONTH), F.col(SALES).desc(), *[F.col(c).asc_nulls_last() for c in CODES]
+    )
+    same_month = F.lag(MONTH).over(by_weight).eqNullSafe(F.col(MONTH))
+    return (
+        monthly.withColumn("leads_month", ~same_month | (F.row_number().over(by_weight) == 1))
+        .withColumn("month_sales", F.sum(SALES).over(Window.partitionBy(MERCHANT, MONTH)))
+        .where("leads_month")
+        .select(MERCHANT, MONTH, F.col("month_sales").alias(SALES), *CODES, *extras)
+    )
+
+
 def continuous_series(df: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """One row per merchant and month, zero sales where there were none.
 
@@ -70,28 +96,11 @@ def continuous_series(df: DataFrame, bounds: DataFrame | None = None) -> DataFra
     first_month, last_month = calendar_ends(bounds)
 
     extras = [c for c in (*INDEXED, *ENCODED) if c in df.columns]
-    monthly = (
-        sales_rows(df)
-        .groupBy(MERCHANT, MONTH, *CODES)
-        .agg(F.sum(SALES).alias(SALES), *[F.any_value(c, True).alias(c) for c in extras])
-    )
-
-    # The window by merchant comes first: its partitioning and order serve the others.
-    by_weight = Window.partitionBy(MERCHANT).orderBy(
-        F.col(MONTH), F.col(SALES).desc(), *[F.col(c).asc_nulls_last() for c in CODES]
-    )
-    same_month = F.lag(MONTH).over(by_weight).eqNullSafe(F.col(MONTH))
-    unique = (
-        monthly.withColumn("leads_month", ~same_month | (F.row_number().over(by_weight) == 1))
-        .withColumn("month_sales", F.sum(SALES).over(Window.partitionBy(MERCHANT, MONTH)))
-        .where("leads_month")
-        .select(MERCHANT, MONTH, F.col("month_sales").alias(SALES), *CODES, *extras)
-    )
 
     # Each row stands for the months up to the merchant's next one, the first
     # row also for those before it.
     by_month = Window.partitionBy(MERCHANT).orderBy(MONTH)
-    filled = unique.withColumns(
+    filled = merchant_months(df).withColumns(
         {
             "from_month": F.when(F.row_number().over(by_month) == 1, first_month).otherwise(
                 F.greatest(F.col(MONTH), first_month)
