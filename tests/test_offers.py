@@ -1,9 +1,16 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 
 from conftest import month, months
-from tillcast.operators.forecasting import mean_forecast
+from tillcast.operators.forecasting import (
+    mean_forecast,
+    mean_forecast_from_transactions,
+    model_forecast,
+    model_forecast_from_transactions,
+)
 from tillcast.operators.offers import (
     advance_amounts,
     lookup_forecasts,
@@ -202,3 +209,36 @@ def test_one_merchant_is_filtered_in_the_scan(spark, tmp_path, cleaned):
         scans = [line for line in plan.splitlines() if "FileScan" in line and "sales" in line]
         assert scans and all("EqualTo(anonymous_uu_id,merchant_A)" in scan for scan in scans)
         assert one.first().is_eligible
+
+
+def test_a_narrower_calendar(spark, cleaned):
+    """Sales outside it do not count, with the series or without."""
+    bounds = spark.createDataFrame(
+        [(month("2022-03"), month("2023-04"))], "first_month date, last_month date"
+    )
+    series = continuous_series(cleaned, bounds)
+    dense = score_offers(series, jitter=0.0).collect()
+    direct = offers_from_transactions(cleaned, bounds, jitter=0.0).collect()
+    assert [tuple(r)[:5] for r in sorted(direct)] == [tuple(r)[:5] for r in sorted(dense)]
+    amount = {r.anonymous_uu_id: r.advance_amount for r in direct}
+    assert amount["merchant_A"] == pytest.approx(
+        6 * RATE * sum(8000 + 500 * k for k in range(2, 16)) / 14
+    )
+
+    def values(forecast):
+        return {(r[0], r[1]): pytest.approx(r[2]) for r in forecast.collect()}
+
+    assert values(mean_forecast_from_transactions(cleaned, bounds, jitter=0.0)) == values(
+        mean_forecast(series, jitter=0.0)
+    )
+    model = PipelineModel(
+        stages=[
+            SQLTransformer(
+                statement="SELECT *, sales_lag_1 + coalesce(length(country_code), 7)"
+                " AS prediction FROM __THIS__"
+            )
+        ]
+    )
+    assert values(model_forecast_from_transactions(cleaned, model, bounds)) == values(
+        model_forecast(series, model)
+    )

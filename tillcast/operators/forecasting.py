@@ -13,6 +13,7 @@ from tillcast.functions.months import calendar_months, next_months
 from tillcast.operators.features import AVERAGES, LAGS, calendar_features
 from tillcast.operators.series import (
     calendar_ends,
+    clip_to_calendar,
     merchant_months,
     month_bounds,
     sales_rows,
@@ -53,7 +54,7 @@ def mean_forecast_from_transactions(
     first_month, last_month = calendar_ends(month_bounds(cleaned) if bounds is None else bounds)
     months = calendar_months(first_month, last_month)
     means = (
-        sales_rows(cleaned)
+        clip_to_calendar(sales_rows(cleaned), first_month, last_month)
         .groupBy(MERCHANT)
         .agg(F.sum(SALES).alias("total"))
         .select(
@@ -120,7 +121,7 @@ def model_forecast_from_transactions(
         return F.when(month >= first_month, sales).alias(_KNOWN[k - 1])
 
     state = (
-        merchant_months(cleaned)
+        clip_to_calendar(merchant_months(cleaned), first_month, last_month)
         .groupBy(MERCHANT)
         .agg(*_last_codes(), *[known(k) for k in range(1, len(_KNOWN) + 1)])
         .withColumn("latest_month", last_month)

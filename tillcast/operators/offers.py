@@ -18,7 +18,7 @@ from tillcast.operators.eligibility import (
     with_latest_run,
 )
 from tillcast.operators.forecasting import mean_prediction
-from tillcast.operators.series import calendar_ends
+from tillcast.operators.series import calendar_ends, clip_to_calendar
 from tillcast.schema import (
     HORIZON_MONTHS,
     MERCHANT,
@@ -97,7 +97,7 @@ def score_offers_from_totals(
     """
     first_month, as_of = calendar_ends(bounds)
     measures = (
-        with_latest_run(totals, as_of)
+        with_latest_run(clip_to_calendar(totals, first_month, as_of), as_of)
         .groupBy(MERCHANT)
         .agg(
             *asof_aggregates(as_of, first_month),

@@ -40,11 +40,7 @@ def monthly_totals(df: DataFrame) -> DataFrame:
     Rows without a month come as one null month with zero sales, so that the
     merchant stays known.
     """
-    return (
-        sales_rows(df)
-        .groupBy(MERCHANT, MONTH)
-        .agg(F.sum(SALES).alias(SALES))
-    )
+    return sales_rows(df).groupBy(MERCHANT, MONTH).agg(F.sum(SALES).alias(SALES))
 
 
 def merchant_months(df: DataFrame) -> DataFrame:
@@ -94,7 +90,6 @@ def continuous_series(df: DataFrame, bounds: DataFrame | None = None) -> DataFra
     """
     bounds = month_bounds(df) if bounds is None else bounds
     first_month, last_month = calendar_ends(bounds)
-
     extras = [c for c in (*INDEXED, *ENCODED) if c in df.columns]
 
     # Each row stands for the months up to the merchant's next one, the first
@@ -146,3 +141,14 @@ def calendar_ends(bounds: DataFrame) -> tuple[Column, Column]:
     """The two months of the one-row ``bounds`` as scalar subqueries."""
     span = bounds.select(F.struct(F.col("first_month"), F.col("last_month"))).scalar()
     return span.getField("first_month"), span.getField("last_month")
+
+
+def clip_to_calendar(rows: DataFrame, first_month: Column, last_month: Column) -> DataFrame:
+    """Rows outside the calendar lose their month and sales, as in a series."""
+    inside = F.col(MONTH).between(first_month, last_month)
+    return rows.withColumns(
+        {
+            MONTH: F.when(inside, F.col(MONTH)),
+            SALES: F.when(inside, F.col(SALES)).otherwise(F.lit(0.0)),
+        }
+    )
