@@ -43,6 +43,14 @@ from tillcast.schema import (
 )
 from tillcast.sources import panels
 
+try:  # both can be taken out of the repository together
+    import corpus_pipeline
+    from tillcast.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("tillcast.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -398,7 +406,7 @@ def queries() -> dict[str, Query]:
         "recursive_forecast_direct": recursive_forecast_direct,
         "model_forecast": trained_forecast,
         "model_holdout_rmse": trained_rmse,
-    }
+    } | ({**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {})
 
 
 # --- the same in SQL -----------------------------------------------------------
