@@ -7,8 +7,10 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillcast.llm.common import workspace, written
+from tillcast.llm.lines import dedup_lines
 from tillcast.llm.quality import fit_quality_model, keep_good
 
 
@@ -19,8 +21,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, fit_quality_model(labelled))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document keeps; ``n_chars`` is counted anew."""
+    deduped = dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return deduped.select(*docs.columns)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
 ]
 
 

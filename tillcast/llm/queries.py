@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.llm.lines import dedup_lines
 from tillcast.llm.quality import fit_quality_model, score_quality
 
 
@@ -19,9 +20,38 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(docs, model)
 
 
+def op8_lines(spark: SparkSession, folder: str) -> DataFrame:
+    deduped = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return deduped.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+OP8_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (
+    SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+  )
+), owners AS (
+  SELECT key, min(doc_id) AS owner FROM lines WHERE length(key) >= 10 GROUP BY key
+), judged AS (
+  SELECT doc_id, pos, line, coalesce(owner <> doc_id, false) AS dropped
+  FROM lines LEFT JOIN owners USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), ''))
+         AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 def queries() -> dict:
-    return {"op10_quality": op10_quality}
+    return {"op8_lines": op8_lines, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_lines": OP8_SQL}
