@@ -816,4 +816,4 @@ WHERE transaction_month >= cut""",
         "recursive_forecast": _recursive_sql(include_current=True),
         "recursive_forecast_known_only": _recursive_sql(include_current=False),
         "recursive_forecast_direct": _recursive_sql(include_current=True),
-    }
+    } | (llm.oracle_sql() if llm else {})
