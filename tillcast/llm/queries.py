@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm.lines import dedup_lines
+from tillcast.llm.minhash import near_copies
 from tillcast.llm.quality import fit_quality_model, score_quality
 
 
@@ -20,6 +21,43 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(docs, model)
 
 
+def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(table(spark, folder, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE heard AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(words) >= 5
+      THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END) AS shingle
+  FROM heard
+), sizes AS (
+  SELECT doc_id, count(shingle) AS n_shingles FROM documents LEFT JOIN shingles USING (doc_id)
+  GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * n >= 75 * (x.n_shingles + y.n_shingles - n)
+), reach(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.node = links.a
+)
+SELECT doc_id, any_value(n_shingles) AS n_shingles, min(node) AS component_id,
+       doc_id = min(node) AS kept
+FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op8_lines(spark: SparkSession, folder: str) -> DataFrame:
     deduped = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return deduped.select(
@@ -50,8 +88,8 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op8_lines": op8_lines, "op10_quality": op10_quality}
+    return {"op3_minhash": op3_minhash, "op8_lines": op8_lines, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_lines": OP8_SQL}
+    return {"op3_minhash": OP3_SQL, "op8_lines": OP8_SQL}
