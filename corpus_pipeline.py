@@ -6,11 +6,14 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm.common import workspace, written
 from tillcast.llm.lines import dedup_lines
+from tillcast.llm.minhash import near_copies
+from tillcast.llm.packing import pack_documents
 from tillcast.llm.quality import fit_quality_model, keep_good
 
 
@@ -27,9 +30,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduped.select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id.
+
+    Documents without any word are no copies of anything and stay.
+    """
+    gone = near_copies(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and where they lie in sequences of 2,048 tokens."""
+    return pack_documents(
+        docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")
+    )
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("packing", packing),
 ]
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm.lines import dedup_lines
 from tillcast.llm.minhash import near_copies
+from tillcast.llm.packing import pack_documents
 from tillcast.llm.quality import fit_quality_model, score_quality
 
 
@@ -58,6 +60,11 @@ FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
 """
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_lines(spark: SparkSession, folder: str) -> DataFrame:
     deduped = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return deduped.select(
@@ -88,7 +95,7 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op3_minhash": op3_minhash, "op8_lines": op8_lines, "op10_quality": op10_quality}
+    return {"op3_minhash": op3_minhash, "op5_packing": op5_packing, "op8_lines": op8_lines, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
