@@ -12,12 +12,15 @@ How the work stays in proportion to the input:
 * In a bucket (documents with an equal band) every document is compared with two leaders, not
   with all others. What is confirmed is joined into components.
 * Only where a bucket still holds several components are its documents compared across them, by
-  bit counts in blocks of bounded size; pairs that may reach the threshold are confirmed as well.
-  So no link between components is left out, and a bucket of near copies costs as many
-  comparisons as it has documents.
-
-A band misses a pair of similarity 0.75 so often that all 32 do in 5 of a million cases; the estimate
-(five standard deviations below 0.75) drops fewer than that.
+  bit counts in blocks of bounded size: first the best pairs that could join the components of
+  a block, then, if some are still apart, all pairs that may reach the threshold by an estimate
+  from 640 minima.
+  So no link between components is left out, and a bucket of near copies brings forth about as
+  many pairs as it has documents.
+
+A band misses a pair of similarity 0.75 so often that all 32 do in 5 of a million cases; the estimates
+(five standard deviations below 0.75 for 128 minima, 4.2 for 640) drop one of 70,000. Both are for pairs
+exactly at the threshold that nothing else connects; more similar ones are missed far less often.
 """
 
 from __future__ import annotations
@@ -49,15 +52,25 @@ PACKED = MINIMA * BITS // 64
 #: Equal low bits from which a pair may be similar enough: five deviations below what 0.75 gives.
 _CHANCE = 1 / (1 << BITS)
 _EQUAL = PERCENT / 100 * (1 - _CHANCE) + _CHANCE
-MIN_EQUAL = int(MINIMA * _EQUAL - 5 * (MINIMA * _EQUAL * (1 - _EQUAL)) ** 0.5)
+
+
+def least_equal(positions: int, deviations: float) -> int:
+    return int(positions * _EQUAL - deviations * (positions * _EQUAL * (1 - _EQUAL)) ** 0.5)
+
+
+MIN_EQUAL = least_equal(MINIMA, 5)
+#: Further minima of documents that meet others in a bucket, for a sharper estimate there.
+WIDE = 512
+MIN_EQUAL_WIDE = least_equal(MINIMA + WIDE, 4.2)
 #: Documents of a bucket that are compared with each other at once.
 BLOCK = 512
 #: Shingles verified against one leader in one task.
 LEADER_SHINGLES = 1_000_000
 
 _rng = np.random.default_rng(5)
-_TIMES = (_rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_PLUS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
+_TIMES = (_rng.integers(0, 1 << 32, MINIMA + WIDE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_PLUS = _rng.integers(0, 1 << 32, MINIMA + WIDE, dtype=np.uint64).astype(np.uint32)
+NARROW_PART, WIDE_PART = slice(0, MINIMA), slice(MINIMA, MINIMA + WIDE)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -87,12 +100,13 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def minima(keys: np.ndarray) -> np.ndarray:
-    """The smallest value of each of the hash functions over a set that is not empty."""
-    least = np.full(MINIMA, 0xFFFFFFFF, dtype=np.uint32)
+def minima(keys: np.ndarray, part: slice = NARROW_PART) -> np.ndarray:
+    """The smallest value of each of some hash functions over a set that is not empty."""
+    times, plus = _TIMES[part, None], _PLUS[part, None]
+    least = np.full(len(times), 0xFFFFFFFF, dtype=np.uint32)
     short = (keys >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(short), 2048):
-        values = _TIMES[:, None] * short[None, i : i + 2048] + _PLUS[:, None]
+    for i in range(0, len(short), 1024):
+        values = times * short[None, i : i + 1024] + plus
         np.minimum(least, values.min(axis=1), out=least)
     return least
 
@@ -100,7 +114,7 @@ def minima(keys: np.ndarray) -> np.ndarray:
 def packed(least: np.ndarray) -> np.ndarray:
     """The low bits of (rows of) minima, 16 to a long."""
     low = ((least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint64)
-    low = low.reshape(*least.shape[:-1], PACKED, 64 // BITS)
+    low = low.reshape(*least.shape[:-1], -1, 64 // BITS)
     return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(
         axis=-1, dtype=np.uint64
     )
@@ -142,6 +156,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, n_shingles, sig, utf8) with the further minima packed as ``wide``."""
+    for batch in batches:
+        data, offsets = byte_view(batch.column(3))
+        for first, last, part in chunks(data, offsets):
+            sets = shingle_hashes(part, offsets[first : last + 1] - offsets[first])
+            wide = packed(np.stack([minima(keys, WIDE_PART) for keys in sets]))
+            some = batch.slice(first, last - first)
+            yield pa.RecordBatch.from_arrays(
+                [*some.columns, _lists(wide)], names=[*some.schema.names, "wide"]
+            )
+
+
 def _lists(rows: np.ndarray) -> pa.Array:
     n, width = rows.shape
     ends = pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32))
@@ -223,50 +250,79 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 # --- buckets with several components -----------------------------------------------
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(forest: bool):
     """Pairs of different components in a block that may be similar enough.
 
-    Rows (bucket, one, other, side, doc, component, sig), the rows of a block after each other.
+    All of them, or only a forest: the best pairs that, if all are confirmed, join whatever
+    any pairs of the block can join.
     """
-    block, rows = None, []
-
-    def pairs() -> Iterator[pa.RecordBatch]:
-        sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
-        own = block[1] == block[2]
-        left, right = sides[0], sides[0] if own else sides[1]
-        if not left or not right:
-            return
-        one, other = (np.array([r[3] for r in side], dtype=np.int64).view(np.uint64) for side in (left, right))
-        ids = [np.array([r[1] for r in side], dtype=np.int64) for side in (left, right)]
-        parts = [np.array([r[2] for r in side], dtype=np.int64) for side in (left, right)]
-        for i in range(0, len(one), 64):
-            x = one[i : i + 64, None, :] ^ other[None, :, :]
-            x |= x >> np.uint64(2)
-            x |= x >> np.uint64(1)
-            equal = MINIMA - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int64)
-            close = (equal >= MIN_EQUAL) & (parts[0][i : i + 64, None] != parts[1][None, :])
-            if own:
-                close &= ids[0][i : i + 64, None] < ids[1][None, :]
-            p, q = np.nonzero(close)
-            if len(p):
-                a, b = ids[0][i + p], ids[1][q]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["doc", "lead"]
-                )
 
-    for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        for bucket, i, j, *row in zip(*cols):
-            if (bucket, i, j) != block:
-                if block is not None:
-                    yield from pairs()
-                block, rows = (bucket, i, j), []
-            rows.append(row)
-    if block is not None:
-        yield from pairs()
-
-
-def pairs_across(members: DataFrame, reps: DataFrame, parts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (bucket, one, other, side, doc, component, sig, wide), a block's after each other."""
+        block, rows = None, []
+        for batch in batches:
+            for bucket, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, i, j) != block:
+                    if block is not None:
+                        yield from _block_pairs(rows, block[1] == block[2], forest)
+                    block, rows = (bucket, i, j), []
+                rows.append(row)
+        if block is not None:
+            yield from _block_pairs(rows, block[1] == block[2], forest)
+
+    return run
+
+
+def _unequal(x: np.ndarray) -> np.ndarray:
+    """How many packed positions are not zero in each row of longs."""
+    x = x.view(np.uint64)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
+
+
+def _block_pairs(rows: list, own: bool, forest: bool) -> Iterator[pa.RecordBatch]:
+    left = [r for r in rows if r[0] == 0]
+    right = left if own else [r for r in rows if r[0] == 1]
+    if not left or not right:
+        return
+    sigs, wides, ids, parts = (
+        [np.array([r[k] for r in side], dtype=np.int64) for side in (left, right)] for k in (3, 4, 1, 2)
+    )
+    found: list[tuple] = []
+    for i in range(0, len(left), 64):
+        unequal = _unequal(sigs[0][i : i + 64, None, :] ^ sigs[1][None, :, :])
+        close = (MINIMA - unequal >= MIN_EQUAL) & (parts[0][i : i + 64, None] != parts[1][None, :])
+        if own:
+            close &= ids[0][i : i + 64, None] < ids[1][None, :]
+        p, q = np.nonzero(close)
+        total = unequal[p, q] + _unequal(wides[0][i + p] ^ wides[1][q])
+        close = MINIMA + WIDE - total >= MIN_EQUAL_WIDE
+        found.append((i + p[close], q[close], total[close]))
+    p, q, unequal = (np.concatenate(x) for x in zip(*found))
+    if forest and len(p) > 1:
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        kept = []
+        for k in np.argsort(unequal, kind="stable").tolist():
+            one, other = top(int(parts[0][p[k]])), top(int(parts[1][q[k]]))
+            if one != other:
+                root[max(one, other)] = min(one, other)
+                kept.append(k)
+        p, q = p[kept], q[kept]
+    if len(p):
+        a, b = ids[0][p], ids[1][q]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["doc", "lead"]
+        )
+
+
+def pairs_across(members: DataFrame, texts: DataFrame, parts: DataFrame, forest: bool) -> DataFrame:
     """Pairs (doc, lead) of one bucket but different components that may be similar enough."""
     labelled = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
@@ -284,7 +340,7 @@ def pairs_across(members: DataFrame, reps: DataFrame, parts: DataFrame) -> DataF
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     seats = (
         labelled.join(mixed_up, "bucket")
-        .join(reps.select("doc_id", "sig"), "doc_id")
+        .join(texts.select("doc_id", "sig", "wide"), "doc_id")
         .withColumn("own", own)
         .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
     )
@@ -297,10 +353,11 @@ def pairs_across(members: DataFrame, reps: DataFrame, parts: DataFrame) -> DataF
             "doc_id",
             "component",
             "sig",
+            "wide",
         )
         .repartition("bucket", "one", "other")
         .sortWithinPartitions("bucket", "one", "other")
-        .mapInArrow(_across, "doc bigint, lead bigint")
+        .mapInArrow(_across(forest), "doc bigint, lead bigint")
         .distinct()
     )
 
@@ -350,7 +407,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = written(
         own.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
-        .join(reps.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id"),
+        .join(reps.select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]), "doc_id")
+        .select("doc_id", "n_shingles", "sig", "utf8")
+        .mapInArrow(
+            _widen,
+            "doc_id bigint, n_shingles bigint, sig array<bigint>, utf8 binary, wide array<bigint>",
+        ),
         f"{folder}/texts",
     )
     star = (
@@ -358,13 +420,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
         .where("doc <> lead")
         .distinct()
     )
-    links = written(confirmed(may_link(star, reps), texts), f"{folder}/links")
-    parts = components(links, f"{folder}/parts")
-
-    rest = pairs_across(members.select("doc_id", "bucket"), reps, parts)
-    rest = rest.join(star, ["doc", "lead"], "left_anti")
-    more = written(confirmed(rest, texts), f"{folder}/more")
-    parts = components(links.unionByName(more), f"{folder}/all-parts")
+    tried = written(may_link(star, reps), f"{folder}/tried-0")
+    links = written(confirmed(tried, texts), f"{folder}/links-0")
+    parts = components(links, f"{folder}/parts-0")
+    for k, forest in ((1, True), (2, False)):
+        rest = pairs_across(members.select("doc_id", "bucket"), texts, parts, forest)
+        rest = written(rest.join(tried, ["doc", "lead"], "left_anti"), f"{folder}/tried-{k}")
+        more = written(confirmed(rest, texts), f"{folder}/links-{k}")
+        tried, links = tried.unionByName(rest), links.unionByName(more)
+        parts = components(links, f"{folder}/parts-{k}")
 
     labels = placed.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
