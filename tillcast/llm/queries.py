@@ -6,16 +6,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.llm.common import utf8, workspace
 from tillcast.llm.lines import dedup_lines
 from tillcast.llm.minhash import near_copies
 from tillcast.llm.packing import pack_documents
 from tillcast.llm.quality import fit_quality_model, score_quality
+from tillcast.llm.sharding import shard_by_bytes
+from tillcast.llm.warc import read_archive, write_archive
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_by_bytes(table(spark, folder, "documents"), 40).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", "quality")
@@ -23,6 +38,39 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(docs, model)
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = workspace(spark, "warc")
+    pages = table(spark, folder, "pages")
+    write_archive(pages.select(F.col("page_id").alias("record_id"), "url", utf8("html").alias("payload")), path)
+    return read_archive(spark, path).select(
+        F.col("id").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+    )
+
+
+OP1_SQL = """
+WITH records AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages
+), digests AS (
+  SELECT page_id, first_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM records
+), fives AS (
+  SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(hex, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS parts
+  FROM digests
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+         lambda shift: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> shift) & 31) + 1, 1)), '')), '')
+         AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM fives
+"""
+
+
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
 
@@ -95,8 +143,15 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op3_minhash": op3_minhash, "op5_packing": op5_packing, "op8_lines": op8_lines, "op10_quality": op10_quality}
+    return {
+        "op1_warc": op1_warc,
+        "op3_minhash": op3_minhash,
+        "op5_packing": op5_packing,
+        "op8_lines": op8_lines,
+        "op9_sharding": op9_sharding,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash": OP3_SQL, "op8_lines": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op3_minhash": OP3_SQL, "op8_lines": OP8_SQL}
