@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.llm.caps import linked_vectors
 from tillcast.llm.common import utf8, workspace
 from tillcast.llm.lines import dedup_lines
 from tillcast.llm.minhash import near_copies
@@ -108,6 +109,10 @@ FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
 """
 
 
+def op4_caps(spark: SparkSession, folder: str) -> DataFrame:
+    return linked_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -146,6 +151,7 @@ def queries() -> dict:
     return {
         "op1_warc": op1_warc,
         "op3_minhash": op3_minhash,
+        "op4_caps": op4_caps,
         "op5_packing": op5_packing,
         "op8_lines": op8_lines,
         "op9_sharding": op9_sharding,
