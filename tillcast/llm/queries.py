@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tillcast.llm.caps import linked_vectors
 from tillcast.llm.common import utf8, workspace
+from tillcast.llm.html_text import extract_text
 from tillcast.llm.lines import dedup_lines
 from tillcast.llm.minhash import near_copies
 from tillcast.llm.packing import pack_documents
@@ -118,6 +119,12 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_html(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages")).withColumn(
+        "n_chars", F.char_length("text").cast("long")
+    )
+
+
 def op8_lines(spark: SparkSession, folder: str) -> DataFrame:
     deduped = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return deduped.select(
@@ -153,6 +160,7 @@ def queries() -> dict:
         "op3_minhash": op3_minhash,
         "op4_caps": op4_caps,
         "op5_packing": op5_packing,
+        "op6_html": op6_html,
         "op8_lines": op8_lines,
         "op9_sharding": op9_sharding,
         "op10_quality": op10_quality,
