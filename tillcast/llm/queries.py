@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.llm.bpe import encode_and_decode
 from tillcast.llm.caps import linked_vectors
 from tillcast.llm.common import utf8, workspace
 from tillcast.llm.html_text import extract_text
@@ -125,6 +126,15 @@ def op6_html(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_and_decode(
+        table(spark, folder, "documents").select("doc_id", "text"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        ("n_tokens", "ids_sha256", "decoded_sha256"),
+    )
+
+
 def op8_lines(spark: SparkSession, folder: str) -> DataFrame:
     deduped = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return deduped.select(
@@ -161,6 +171,7 @@ def queries() -> dict:
         "op4_caps": op4_caps,
         "op5_packing": op5_packing,
         "op6_html": op6_html,
+        "op7_bpe": op7_bpe,
         "op8_lines": op8_lines,
         "op9_sharding": op9_sharding,
         "op10_quality": op10_quality,
