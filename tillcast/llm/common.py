@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Each byte with A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
 #: Bytes of text handled at once by the numpy code.
 CHUNK_BYTES = 1 << 20
 

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.llm.common import (
+    LOWER,
     byte_view,
     chunks,
     mixed,
@@ -71,8 +72,6 @@ _rng = np.random.default_rng(5)
 _TIMES = (_rng.integers(0, 1 << 32, MINIMA + WIDE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _PLUS = _rng.integers(0, 1 << 32, MINIMA + WIDE, dtype=np.uint64).astype(np.uint32)
 NARROW_PART, WIDE_PART = slice(0, MINIMA), slice(MINIMA, MINIMA + WIDE)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
 
 
 # --- signatures ------------------------------------------------------------------
@@ -81,7 +80,7 @@ _LOWER[0x41:0x5B] += 0x20
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The distinct 64-bit hashes of the shingles of each text."""
     starts, ends, first = words(data, offsets)
-    hashes = span_hashes(_LOWER[data], starts, ends)
+    hashes = span_hashes(LOWER[data], starts, ends)
     count = max(len(hashes) - SHINGLE + 1, 0)
     keys = np.zeros(count, dtype=np.uint64)
     for k in range(SHINGLE):

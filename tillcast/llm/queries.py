@@ -11,6 +11,7 @@ from tillcast.llm.caps import linked_vectors
 from tillcast.llm.common import utf8, workspace
 from tillcast.llm.html_text import extract_text
 from tillcast.llm.lines import dedup_lines
+from tillcast.llm.maxent import score_texts
 from tillcast.llm.minhash import near_copies
 from tillcast.llm.packing import pack_documents
 from tillcast.llm.quality import fit_quality_model, score_quality
@@ -74,6 +75,12 @@ FROM fives
 """
 
 
+def op2_maxent(spark: SparkSession, folder: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    docs = table(spark, folder, "documents")
+    return score_texts(docs.select("doc_id", (fold == 2).alias("held_out"), "text"))
+
+
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
 
@@ -167,6 +174,7 @@ FROM judged GROUP BY doc_id
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
+        "op2_maxent": op2_maxent,
         "op3_minhash": op3_minhash,
         "op4_caps": op4_caps,
         "op5_packing": op5_packing,
