@@ -104,15 +104,15 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     )
     headers = named.join(firsts, "address").select("record_id", "address", _header(refers).alias("header"))
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
-    # The first record of each payload brings the bytes.
+    # The first record of each payload brings the bytes, once even if its row is repeated: what is
+    # joined on both keys is already dealt by them.
+    number = F.coalesce("record_id", F.lit(-(1 << 63)))
+    first_number = F.coalesce("first_id", F.lit(-(1 << 63)))
     stored = (
-        records.select("record_id", F.sha2("payload", 256).alias("of"), "payload")
-        .join(
-            firsts,
-            (F.col("of") == F.col("address")) & F.col("record_id").eqNullSafe(F.col("first_id")),
-            "left_semi",
-        )
-        .select(F.col("of").alias("address"), "payload")
+        records.select(F.sha2("payload", 256).alias("address"), number.alias("number"), "payload")
+        .join(firsts.select("address", first_number.alias("number")), ["address", "number"], "left_semi")
+        .dropDuplicates(["address", "number"])
+        .select("address", "payload")
     )
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
