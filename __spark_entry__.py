@@ -105,6 +105,24 @@ def rejected(spark: SparkSession, folder: str) -> DataFrame:
     return rejected_transactions(cleaned(spark, folder)).select("order_key", "reject_reason")
 
 
+def rejected_by_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    """Against a calendar that lacks the last year of the orders."""
+    bounds = panels.customer_bounds(spark, folder).select(
+        "first_month", F.add_months("last_month", -12).alias("last_month")
+    )
+    return rejected_transactions(cleaned(spark, folder), bounds).select(
+        "order_key", "reject_reason"
+    )
+
+
+def refunded_streaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every third order is paid back in its month: what remains may be nothing at all."""
+    sales = panels.customer_sales(spark, folder, "o_orderkey")
+    refunds = sales.where("o_orderkey % 3 = 0").withColumn("sales_amount", -F.col("sales_amount"))
+    bounds = panels.customer_bounds(spark, folder)
+    return positive_streaks(continuous_series(sales.unionByName(refunds), bounds))
+
+
 def filled_series(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(customer_series(spark, folder), SALES)
 
@@ -220,21 +238,8 @@ def forecast_dirty(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def jittered_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    """Jittered forecasts against the mean: all within five per cent, not all equal."""
     series = supplier_sales_series(spark, folder)
-    plain = mean_forecast(series, jitter=0.0).withColumnRenamed(PREDICTION, "plain")
-    return (
-        mean_forecast(series, jitter=0.05, seed=7)
-        .join(plain, [MERCHANT, MONTH])
-        .groupBy(MERCHANT)
-        .agg(
-            F.count(F.lit(1)).alias("months"),
-            F.every(F.abs(F.col(PREDICTION) / F.col("plain") - 1) <= 0.05 + 1e-9).alias(
-                "within_band"
-            ),
-            (F.min(PREDICTION) < F.max(PREDICTION)).alias("varies"),
-        )
-    )
+    return mean_forecast(series, jitter=0.05, seed=7).withColumn(PREDICTION, F.round(PREDICTION, 4))
 
 
 def amounts(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,6 +305,23 @@ def offer_lookup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def offers_for_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``offer_lookup``, but only the merchants asked for are worked out."""
+    answers = offers_from_transactions(
+        panels.supplier_sales(spark, folder),
+        panels.supplier_bounds(spark, folder),
+        order_requests(spark, folder),
+        jitter=0.0,
+    )
+    return rounded(answers, "advance_amount").select(
+        "request",
+        MERCHANT,
+        "found",
+        F.coalesce("is_eligible", F.lit(False)).alias("is_eligible"),
+        "advance_amount",
+    )
+
+
 def split_supplier_sales(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     calendar = month_calendar(panels.supplier_bounds(spark, folder))
     return temporal_split(supplier_sales_series(spark, folder), cutoff=split_cutoff(calendar))
@@ -359,16 +381,39 @@ def recursive_forecast_direct(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(forecasts, PREDICTION)
 
 
+# Sales that follow the season alone, in unequal steps: a tree of some depth learns them exactly, so
+# that what a trained model predicts can be said in SQL. A tree of depth 1 cannot.
+SEASONS = ((3, 1000.0), (6, 2500.0), (9, 7000.0), (12, 20000.0))
+DEPTHS, TREES = (1, 4), (1, 2)
+
+
+def seasonal_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Every merchant and month of the line items, with sales by the season."""
+    month = F.month(MONTH)
+    sales = F.lit(SEASONS[-1][1])
+    for last, amount in reversed(SEASONS[:-1]):
+        sales = F.when(month <= last, F.lit(amount)).otherwise(sales)
+    return cut_lineage(supplier_series(spark, folder).withColumn(SALES, sales))
+
+
+def search(series: DataFrame) -> PipelineModel:
+    return train_forecaster(series, DEPTHS, TREES, parallelism=4, include_current=False)
+
+
+def model_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The depth that cross-validation over all settings picks."""
+    regressor = search(seasonal_series(spark, folder)).stages[-1]
+    return spark.range(1).select(F.lit(regressor.getMaxDepth()).alias("max_depth"))
+
+
 def trained_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    series = cut_lineage(supplier_series(spark, folder))
-    model = train_forecaster(series, depths=(3,), trees=(5,))
-    return model_forecast(series, model)
+    series = seasonal_series(spark, folder)
+    return rounded(model_forecast(series, search(series), include_current=False), PREDICTION)
 
 
 def trained_rmse(spark: SparkSession, folder: str) -> DataFrame:
-    series = cut_lineage(supplier_series(spark, folder))
-    train, test = temporal_split(series)
-    return rmse(score_holdout(train_forecaster(train, depths=(3,), trees=(5,)), test))
+    train, test = temporal_split(seasonal_series(spark, folder))
+    return rounded(rmse(score_holdout(search(train), test, include_current=False)), "rmse")
 
 
 def queries() -> dict[str, Query]:
@@ -376,6 +421,8 @@ def queries() -> dict[str, Query]:
         "monthly_sales": monthly_sales,
         "clean_transactions": cleaned,
         "rejected_transactions": rejected,
+        "rejected_by_calendar": rejected_by_calendar,
+        "refunded_streaks": refunded_streaks,
         "continuous_series": filled_series,
         "continuous_series_dirty": filled_series_dirty,
         "continuous_series_many_codes": filled_series_many_codes,
@@ -399,11 +446,13 @@ def queries() -> dict[str, Query]:
         "offers_sparse": offers_sparse,
         "forecast_lookup": forecast_lookup,
         "offer_lookup": offer_lookup,
+        "offers_for_requests": offers_for_requests,
         "temporal_split": split_sizes,
         "naive_rmse": naive_rmse,
         "recursive_forecast": recursive_forecast(include_current=True),
         "recursive_forecast_known_only": recursive_forecast(include_current=False),
         "recursive_forecast_direct": recursive_forecast_direct,
+        "model_search": model_search,
         "model_forecast": trained_forecast,
         "model_holdout_rmse": trained_rmse,
     } | ({**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {})
@@ -749,8 +798,11 @@ FROM codes JOIN country_slots USING (country_code)""",
         "jittered_forecast": _with(
             supplier | FORECAST,
             """
-SELECT anonymous_uu_id, count(*) AS months, true AS within_band, true AS varies
-FROM forecasts GROUP BY anonymous_uu_id""",
+SELECT anonymous_uu_id, transaction_month, round(greatest(0, prediction * (1 + 0.1 * (
+         CAST('0x' || substr(md5(anonymous_uu_id || '|' || strftime(transaction_month, '%Y-%m-%d')
+                                 || '|7'), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE)
+         - CAST(0.5 AS DOUBLE)))), 4) AS prediction
+FROM forecasts""",
         ),
         "advance_amounts": _with(
             supplier | FORECAST,
@@ -792,6 +844,50 @@ SELECT r.request, r.anonymous_uu_id, o.anonymous_uu_id IS NOT NULL AS found,
        coalesce(is_eligible, false) AS is_eligible, round(advance_amount, 4) AS advance_amount
 FROM requests r LEFT JOIN offers o ON r.anonymous_uu_id = o.anonymous_uu_id""",
         ),
+        "offers_for_requests": _with(
+            supplier | ASOF | OFFERS | REQUESTS,
+            """
+SELECT r.request, r.anonymous_uu_id, o.anonymous_uu_id IS NOT NULL AS found,
+       coalesce(is_eligible, false) AS is_eligible, round(advance_amount, 4) AS advance_amount
+FROM requests r LEFT JOIN offers o ON r.anonymous_uu_id = o.anonymous_uu_id""",
+        ),
+        "model_search": "SELECT 4 AS max_depth",
+        "model_forecast": _with(
+            supplier,
+            """
+SELECT anonymous_uu_id, month AS transaction_month,
+       CASE WHEN month(month) <= 3 THEN 1000.0 WHEN month(month) <= 6 THEN 2500.0
+            WHEN month(month) <= 9 THEN 7000.0 ELSE 20000.0 END AS prediction
+FROM merchants CROSS JOIN (
+  SELECT CAST(hi + to_months(CAST(k AS INTEGER)) AS DATE) AS month
+  FROM bounds CROSS JOIN range(1, 7) t(k))""",
+        ),
+        "model_holdout_rmse": "SELECT CAST(0 AS DOUBLE) AS rmse",
+        "rejected_by_calendar": _with(
+            DIRTY,
+            """
+SELECT order_key, CASE WHEN anonymous_uu_id IS NULL THEN 'no merchant'
+                       WHEN transaction_month_dt IS NULL THEN 'no month'
+                       ELSE 'month outside the calendar' END AS reject_reason
+FROM panel
+WHERE anonymous_uu_id IS NULL OR transaction_month_dt IS NULL
+   OR transaction_month_dt > (SELECT date_trunc('month', max(o_orderdate)) - INTERVAL 12 MONTH
+                              FROM orders)""",
+        ),
+        "refunded_streaks": _with(
+            {
+                "panel": """
+SELECT CAST(o_custkey AS VARCHAR) AS anonymous_uu_id,
+       CAST(date_trunc('month', o_orderdate) AS DATE) AS transaction_month,
+       sum(CASE WHEN o_orderkey % 3 = 0 THEN 0
+                ELSE CAST(floor(o_totalprice * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) END)
+         AS sales_amount_actual
+FROM orders GROUP BY ALL""",
+                "series": "SELECT * FROM panel",
+            }
+            | STREAKS,
+            "SELECT * FROM streaks",
+        ),
         "temporal_split": _with(
             supplier | SPLIT,
             """

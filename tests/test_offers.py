@@ -171,8 +171,9 @@ def test_raw_to_forecast(spark):
 
 
 def test_streamed_requests(spark, tmp_path, cleaned):
-    tables = str(tmp_path / "forecasts")
-    publish(mean_forecast(continuous_series(cleaned), jitter=0.0), tables)
+    tables = publish(
+        mean_forecast(continuous_series(cleaned), jitter=0.0), str(tmp_path / "forecasts")
+    )
     inbox, outbox, state = (tmp_path / n for n in ("in", "out", "state"))
     inbox.mkdir()
     answers = lookup_forecasts(read_requests(spark, str(inbox)), read_published(spark, tables))
@@ -188,12 +189,30 @@ def test_streamed_requests(spark, tmp_path, cleaned):
     assert set(got) == {"merchant_A", "nobody"} and got["nobody"].found is False
 
 
-def test_published_table_is_replaced(spark, tmp_path, cleaned):
-    path = str(tmp_path / "offers")
+def test_earlier_versions_of_a_published_table_stay(spark, tmp_path, cleaned):
     offers = offers_from_transactions(cleaned, jitter=0.0)
-    publish(offers.limit(1), path)
-    publish(offers, path)
-    assert sorted(read_published(spark, path).collect()) == sorted(offers.collect())
+    old = publish(offers.limit(1), str(tmp_path))
+    new = publish(offers, str(tmp_path))
+    assert sorted(read_published(spark, new).collect()) == sorted(offers.collect())
+    assert read_published(spark, old).count() == 1
+
+
+def test_only_the_merchants_asked_for_are_summed_up(spark, cleaned):
+    asked = spark.createDataFrame([("merchant_A",), ("nobody",), (None,)], "anonymous_uu_id string")
+    pruned = offers_from_transactions(cleaned, requests=asked, jitter=0.0)
+    plain = lookup_offers(asked, offers_from_transactions(cleaned, jitter=0.0))
+    assert sorted(pruned.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    plan = pruned._jdf.queryExecution().optimizedPlan().toString()
+    semi, sums = plan.rindex("LeftSemi"), plan.index("Aggregate [anonymous_uu_id")
+    assert semi > sums  # further down the tree
+
+
+def test_numbers_ask_among_names(spark):
+    forecasts = spark.createDataFrame([("merchant_A", month("2024-01"), 1.5)], FORECASTS)
+    asked = spark.createDataFrame([(7,), (None,)], "anonymous_uu_id bigint")
+    answers = lookup_forecasts(asked, forecasts)
+    assert [r.found for r in answers.collect()] == [False, False]
+    assert answers.schema["anonymous_uu_id"].dataType.simpleString() == "bigint"
 
 
 def test_one_merchant_is_filtered_in_the_scan(spark, tmp_path, cleaned):

@@ -195,10 +195,16 @@ def test_streaks_against_brute_force(random_sales):
 
 
 def test_series_shuffles_twice_and_its_users_not_at_all(with_gap):
-    """Once to sum, once by merchant; the calendar's own exchange is in a subquery."""
+    """Once to sum by code, once by month, once by merchant; the calendar's own exchange is in a subquery."""
     streaks = positive_streaks(continuous_series(with_gap, month_bounds(with_gap)))
     plan = streaks._jdf.queryExecution().sparkPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     executed = streaks._jdf.queryExecution().executedPlan().toString()
     main = [line for line in executed.splitlines() if not line.lstrip().startswith(":")]
-    assert sum("Exchange hashpartitioning" in line for line in main) == 2
+    assert sum("Exchange hashpartitioning" in line for line in main) == 3
+
+
+def test_cancelled_months_have_no_sales(spark):
+    rows = [("m", "USD", "US", month(f"2021-0{k}"), v, 1) for k, v in ((1, 5.0), (2, 0.1), (2, 0.2), (2, -0.3), (3, 7.0))]
+    series = continuous_series(spark.createDataFrame(rows, TRANSACTIONS))
+    assert [r.streak_months for r in positive_streaks(series).collect()] == [1, 1]

@@ -7,7 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressionModel
 
 from conftest import TRANSACTIONS, month, months
-from tillcast.functions.lineage import cut_lineage, use_checkpoint_dir
+from tillcast.functions.lineage import cut_lineage
 from tillcast.operators.encoding import encode_categories, fit_encoder
 from tillcast.operators.evaluation import (
     evaluate,
@@ -107,10 +107,10 @@ def test_given_encoder_is_used(series):
     assert small.stages[0].stages[0].uid == encoder.stages[0].uid
 
 
-def test_keys_are_not_encoded(spark):
-    df = spark.range(500).selectExpr("string(id) AS currency_code", "'US' AS country_code")
-    with pytest.raises(ValueError, match="currency_code$"):
-        fit_encoder(df, max_labels=100)
+def test_any_number_of_labels_in_one_scan(spark):
+    df = spark.range(12_000).selectExpr("string(id) AS currency_code", "'US' AS country_code")
+    indexers = fit_encoder(df).stages[:2]
+    assert [len(indexer.labels) for indexer in indexers] == [12_000, 1]
 
 
 @pytest.mark.parametrize(
@@ -165,11 +165,8 @@ def test_training_job(spark, tmp_path):
     assert isinstance(load_model(spark, model_path), PipelineModel)
 
 
-def test_checkpoints_go_to_the_named_folder(spark):
-    use_checkpoint_dir(spark)
-    folder = spark.sparkContext.getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert folder is not None and (named is None or named in folder)
-    kept = cut_lineage(spark.range(10))
+def test_lineage_is_cut_at_the_given_folder(spark, tmp_path):
+    kept = cut_lineage(spark.range(10).distinct(), str(tmp_path))
+    assert str(tmp_path) in kept.inputFiles()[0]
     assert "Exchange" not in kept._jdf.queryExecution().toString()
     assert kept.count() == 10

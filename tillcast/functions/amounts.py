@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def to_amount(column: str | Column) -> Column:
-    """Text or number to double; null when it is not a number."""
+    """Text or number to double; null when it is not a finite number."""
     column = F.col(column) if isinstance(column, str) else column
-    return column.try_cast("double")
+    number = column.try_cast("double")
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def to_count(column: str | Column) -> Column:
@@ -18,6 +19,18 @@ def to_count(column: str | Column) -> Column:
     return F.coalesce(column.try_cast("bigint"), column.try_cast("double").try_cast("bigint"))
 
 
+def exact_sum(amount: Column) -> Column:
+    """Sum of doubles as written, whatever their order: 0.1 + 0.2 - 0.3 is zero.
+
+    Amounts are summed as decimals with ten places. A group with an amount that needs more places
+    or is above 10**18 is summed as doubles.
+    """
+    decimal = amount.try_cast("decimal(28,10)")
+    fits = F.coalesce(F.every(amount.isNull() | (decimal.cast("double") == amount)), F.lit(True))
+    whole = F.coalesce(F.every(amount.isNull() | decimal.isNotNull()), F.lit(True))
+    return F.when(fits & whole, F.sum(decimal).cast("double")).otherwise(F.sum(amount))
+
+
 def not_below_zero(column: Column) -> Column:
     """Negative values become zero; null stays null (``greatest`` would lose it)."""
     return F.when(column < 0, F.lit(0.0)).otherwise(column)
@@ -31,5 +44,8 @@ def jitter_factor(merchant: Column, month: Column, jitter: float, seed: int) ->
     """
     if jitter == 0:
         return F.lit(1.0)
-    unit = F.pmod(F.xxhash64(merchant, month, F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    text = F.concat_ws(
+        "|", merchant.cast("string"), F.date_format(month, "yyyy-MM-dd"), F.lit(str(seed))
+    )
+    unit = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     return F.lit(1.0) + (unit - F.lit(0.5)) * F.lit(2.0 * jitter)

@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure checkpoints go to the folder the cluster names.
+def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet and read from there.
 
-    ``spark.checkpoint.dir`` must be on storage that outlives an executor. A
-    temporary folder stands in for it only in a local session without one.
+    The files go to a new folder below ``folder``, or below the one the cluster names in
+    ``spark.checkpoint.dir``; it must be on storage that outlives an executor, and whoever owns it
+    clears it.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    spark = df.sparkSession
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="tillcast-")
-    context.setCheckpointDir(folder)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder and read from there."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+        raise ValueError("name a shared folder, or set spark.checkpoint.dir to one")
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

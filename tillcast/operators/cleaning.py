@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.functions.amounts import to_amount, to_count
-from tillcast.functions.months import month_of
+from tillcast.functions.months import month_of, month_start
 from tillcast.schema import MERCHANT, MONTH_DT, RAW_COUNT, RAW_MONTH, RAW_SALES
 
 
@@ -25,9 +25,25 @@ def clean_transactions(raw: DataFrame) -> DataFrame:
     ).fillna(0, subset=[RAW_SALES, RAW_COUNT])
 
 
-def rejected_transactions(cleaned: DataFrame) -> DataFrame:
-    """Cleaned rows whose sales cannot enter a series, with the reason."""
-    reason = F.when(F.col(MERCHANT).isNull(), "no merchant").when(
-        F.col(MONTH_DT).isNull(), "no month"
+def rejected_transactions(rows: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Rows whose sales cannot enter a series, with the reason.
+
+    Takes cleaned rows, or raw ones; only those still hold amounts that are not finite. With the calendar
+    ``bounds`` rows outside of it are reported. Without them the rows themselves set the calendar, and
+    one wrong month lengthens every series: look at ``month_bounds`` first.
+    """
+    number = F.col(RAW_SALES).try_cast("double")
+    if MONTH_DT not in rows.columns:
+        rows = rows.withColumn(MONTH_DT, month_of(rows, RAW_MONTH))
+    reason = (
+        F.when(F.col(MERCHANT).isNull(), "no merchant")
+        .when(F.col(MONTH_DT).isNull(), "no month")
+        .when(~(F.abs(number) < F.lit(float("inf"))), "amount not finite")
     )
-    return cleaned.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull())
+    if bounds is not None:
+        span = bounds.select(F.struct("first_month", "last_month")).scalar()
+        inside = month_start(MONTH_DT).between(
+            span.getField("first_month"), span.getField("last_month")
+        )
+        reason = reason.when(~inside, "month outside the calendar")
+    return rows.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull())

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.functions.amounts import jitter_factor, not_below_zero
+from tillcast.functions.amounts import exact_sum, jitter_factor, not_below_zero
 from tillcast.functions.months import calendar_months, next_months
 from tillcast.operators.features import AVERAGES, LAGS, calendar_features
 from tillcast.operators.series import (
@@ -56,7 +56,7 @@ def mean_forecast_from_transactions(
     means = (
         clip_to_calendar(sales_rows(cleaned), first_month, last_month)
         .groupBy(MERCHANT)
-        .agg(F.sum(SALES).alias("total"))
+        .agg(exact_sum(F.col(SALES)).alias("total"))
         .select(
             MERCHANT,
             (F.col("total") / months).alias("mean_sales"),

@@ -69,7 +69,7 @@ def score_offers(
     """
     as_of = as_of_column(series, as_of)
     measures = (
-        with_latest_run(series, as_of)
+        with_latest_run(only_requested(series, requests), as_of)
         .groupBy(MERCHANT)
         .agg(
             *asof_aggregates(as_of),
@@ -97,7 +97,9 @@ def score_offers_from_totals(
     """
     first_month, as_of = calendar_ends(bounds)
     measures = (
-        with_latest_run(clip_to_calendar(totals, first_month, as_of), as_of)
+        with_latest_run(
+            clip_to_calendar(only_requested(totals, requests), first_month, as_of), as_of
+        )
         .groupBy(MERCHANT)
         .agg(
             *asof_aggregates(as_of, first_month),
@@ -155,18 +157,29 @@ def lookup_offers(requests: DataFrame, offers: DataFrame) -> DataFrame:
     return _look_up(requests, offers)
 
 
+def only_requested(rows: DataFrame, requests: DataFrame | None) -> DataFrame:
+    """The rows of merchants that are asked for; all of them without requests or for a stream of them."""
+    if requests is None or requests.isStreaming:
+        return rows
+    asked = requests.select(F.col(MERCHANT).cast("string").alias("asked")).distinct()
+    return rows.join(asked, F.col(MERCHANT).cast("string") == F.col("asked"), "left_semi")
+
+
 def _look_up(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """Left join that stays even when most requests are for one merchant.
 
     AQE splits such a merchant's requests, but only where a join reads both sides
     straight from a shuffle. Answers grouped by merchant would be joined as they
     lie; the hash as a second key has them exchanged for the join.
+
+    Ids are compared as text, whatever their type in the requests; a null id is not found.
     """
-    key_hash = F.xxhash64(F.col(MERCHANT).cast("string"))
-    answered = answers.withColumns({"key_hash": key_hash, "found": F.lit(True)})
+    name = F.col(MERCHANT).cast("string")
+    keys = {"key_name": name, "key_hash": F.xxhash64(name)}
+    answered = answers.withColumns({**keys, "found": F.lit(True)}).drop(MERCHANT)
     return (
-        requests.withColumn("key_hash", key_hash)
-        .join(answered, [MERCHANT, "key_hash"], "left")
+        requests.withColumns(keys)
+        .join(answered, ["key_name", "key_hash"], "left")
         .withColumn("found", F.coalesce("found", F.lit(False)))
-        .drop("key_hash")
+        .drop("key_name", "key_hash")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillcast.functions.amounts import exact_sum
 from tillcast.functions.months import month_start, months_between_inclusive
 from tillcast.schema import (
     CODES,
@@ -24,8 +25,10 @@ def month_bounds(df: DataFrame, column: str = MONTH_DT) -> DataFrame:
 
     Reads a single column and, being an aggregate without keys, is always one row.
     """
-    month = month_start(column)
-    return df.agg(F.min(month).alias("first_month"), F.max(month).alias("last_month"))
+    return df.agg(
+        month_start(F.min(column)).alias("first_month"),
+        month_start(F.max(column)).alias("last_month"),
+    )
 
 
 def month_calendar(bounds: DataFrame) -> DataFrame:
@@ -40,33 +43,32 @@ def monthly_totals(df: DataFrame) -> DataFrame:
     Rows without a month come as one null month with zero sales, so that the
     merchant stays known.
     """
-    return sales_rows(df).groupBy(MERCHANT, MONTH).agg(F.sum(SALES).alias(SALES))
+    return sales_rows(df).groupBy(MERCHANT, MONTH).agg(exact_sum(F.col(SALES)).alias(SALES))
 
 
 def merchant_months(df: DataFrame) -> DataFrame:
     """One row per merchant and month with rows, and the codes kept for it.
 
     The observed part of :func:`continuous_series`, with a null month as in
-    :func:`monthly_totals`. The result is partitioned by merchant.
+    :func:`monthly_totals`.
     """
     extras = [c for c in (*INDEXED, *ENCODED) if c in df.columns]
-    monthly = (
+    by_code = (
         sales_rows(df)
         .groupBy(MERCHANT, MONTH, *CODES)
-        .agg(F.sum(SALES).alias(SALES), *[F.any_value(c, True).alias(c) for c in extras])
+        .agg(exact_sum(F.col(SALES)).alias(SALES), *[F.any_value(c, True).alias(c) for c in extras])
     )
-
-    # The window by merchant comes first: its partitioning and order serve the others.
-    by_weight = Window.partitionBy(MERCHANT).orderBy(
-        F.col(MONTH), F.col(SALES).desc(), *[F.col(c).asc_nulls_last() for c in CODES]
+    # Larger sales first, then names with null last. Combined before the shuffle, so a merchant
+    # with many codes is its months when they come together.
+    weight = F.struct(
+        (-F.col(SALES)).alias("less"),
+        *[x for c in CODES for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))],
     )
-    same_month = F.lag(MONTH).over(by_weight).eqNullSafe(F.col(MONTH))
-    return (
-        monthly.withColumn("leads_month", ~same_month | (F.row_number().over(by_weight) == 1))
-        .withColumn("month_sales", F.sum(SALES).over(Window.partitionBy(MERCHANT, MONTH)))
-        .where("leads_month")
-        .select(MERCHANT, MONTH, F.col("month_sales").alias(SALES), *CODES, *extras)
+    monthly = by_code.groupBy(MERCHANT, MONTH).agg(
+        exact_sum(F.col(SALES)).alias(SALES),
+        F.min_by(F.struct(*CODES, *extras), weight).alias("kept"),
     )
+    return monthly.select(MERCHANT, MONTH, SALES, *[F.col(f"kept.{c}") for c in (*CODES, *extras)])
 
 
 def continuous_series(df: DataFrame, bounds: DataFrame | None = None) -> DataFrame:

@@ -24,24 +24,25 @@ FULL_TREES = (300, 500)
 
 def train_forecaster(
     series: DataFrame,
-    depths: Sequence[int] = (5,),
-    trees: Sequence[int] = (20,),
+    depths: Sequence[int] = FULL_DEPTHS,
+    trees: Sequence[int] = FULL_TREES,
     folds: int = 3,
     parallelism: int = 1,
     seed: int = 42,
     include_current: bool = True,
     encoder: PipelineModel | None = None,
+    folder: str | None = None,
 ) -> PipelineModel:
     """One model for all merchants: encoder, assembler and boosted trees.
 
     Every pair of ``depths`` and ``trees`` is cross-validated by RMSE and the best is
-    refitted (a single pair is fitted at once). The default is small; pass
-    ``FULL_DEPTHS`` and ``FULL_TREES`` for the full search. The features are
-    written to the checkpoint folder first: the fits read them many times, and the
+    refitted (a single pair is fitted at once). The default is the full search. The features are
+    written below ``folder`` (see :func:`cut_lineage`) first: the fits read them many times, and the
     random folds are the same only if the rows do not move.
     """
     features = cut_lineage(
-        model_features(series, include_current).select(SALES, *LAGS, *AVERAGES, *CALENDAR, *CODES)
+        model_features(series, include_current).select(SALES, *LAGS, *AVERAGES, *CALENDAR, *CODES),
+        folder,
     )
     encoder = encoder or fit_encoder(features)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
@@ -85,6 +86,8 @@ def load_model(spark: SparkSession, path: str) -> PipelineModel:
     try:
         return PipelineModel.read().session(spark).load(path)
     except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no model at {path}") from error
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from tillcast.operators.cleaning import clean_transactions
 from tillcast.operators.forecasting import mean_forecast_from_transactions
-from tillcast.operators.offers import score_offers_from_totals
+from tillcast.operators.offers import only_requested, score_offers_from_totals
 from tillcast.operators.series import month_bounds, monthly_totals
 from tillcast.schema import HORIZON_MONTHS, AdvancePolicy
 
@@ -29,8 +29,11 @@ def offers_from_transactions(
     seed: int = 0,
     policy: AdvancePolicy = AdvancePolicy(),
 ) -> DataFrame:
-    """Offers as of the last month of the calendar, which is that of ``cleaned`` by default."""
+    """Offers as of the last month of the calendar, which is that of ``cleaned`` by default.
+
+    With ``requests`` only the transactions of the merchants asked for are summed up.
+    """
     bounds = month_bounds(cleaned) if bounds is None else bounds
     return score_offers_from_totals(
-        monthly_totals(cleaned), bounds, requests, horizon, jitter, seed, policy
+        monthly_totals(only_requested(cleaned, requests)), bounds, requests, horizon, jitter, seed, policy
     )

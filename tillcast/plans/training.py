@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from tillcast.functions.lineage import cut_lineage
 from tillcast.operators.evaluation import evaluate, split_cutoff, temporal_split
-from tillcast.operators.training import load_model, save_model, train_forecaster
+from tillcast.operators.training import FULL_DEPTHS, FULL_TREES, load_model, save_model, train_forecaster
 from tillcast.plans.preparation import series_from_raw
 from tillcast.sources.transactions import read_raw_transactions
 
@@ -17,19 +18,27 @@ def train_and_evaluate(
     spark: SparkSession,
     transactions_path: str,
     model_path: str,
-    depths: Sequence[int] = (5,),
-    trees: Sequence[int] = (20,),
+    depths: Sequence[int] = FULL_DEPTHS,
+    trees: Sequence[int] = FULL_TREES,
     test_fraction: float = 0.30,
     include_current: bool = True,
+    folds: int = 3,
+    parallelism: int = 1,
+    seed: int = 42,
+    encoder: PipelineModel | None = None,
+    folder: str | None = None,
 ) -> float:
     """Train on the earlier months, save, and give the saved model's RMSE on the later.
 
-    The series is read by several jobs, so it is written once.
+    The series is read by several jobs, so it is written once, below ``folder``.
     """
-    series = cut_lineage(series_from_raw(read_raw_transactions(spark, transactions_path)))
-    cutoff = cut_lineage(split_cutoff(series, test_fraction))
+    series = cut_lineage(series_from_raw(read_raw_transactions(spark, transactions_path)), folder)
+    cutoff = cut_lineage(split_cutoff(series, test_fraction), folder)
     train, test = temporal_split(series, cutoff=cutoff)
     save_model(
-        train_forecaster(train, depths, trees, include_current=include_current), model_path
+        train_forecaster(
+            train, depths, trees, folds, parallelism, seed, include_current, encoder, folder
+        ),
+        model_path,
     )
     return evaluate(load_model(spark, model_path), test, include_current)

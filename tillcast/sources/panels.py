@@ -51,10 +51,10 @@ def supplier_bounds(spark: SparkSession, folder: str) -> DataFrame:
     return month_bounds(read_table(spark, folder, "lineitem"), "l_shipdate")
 
 
-def customer_sales(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers as merchants: one row per order, no codes."""
+def customer_sales(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """Customers as merchants: one row per order, no codes; with ``more`` columns of the orders."""
     orders = read_table(spark, folder, "orders")
-    return _sales(orders, "o_custkey", "o_orderdate", F.col("o_totalprice"))
+    return _sales(orders, "o_custkey", "o_orderdate", F.col("o_totalprice"), *more)
 
 
 def customer_monthly(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,11 +97,12 @@ def customer_raw_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _sales(rows: DataFrame, key: str, date: str, amount: Column) -> DataFrame:
+def _sales(rows: DataFrame, key: str, date: str, amount: Column, *more: str) -> DataFrame:
     return rows.select(
         F.col(key).cast("string").alias(MERCHANT),
         month_start(date).alias(MONTH_DT),
         (to_cents(amount) / 100.0).alias(RAW_SALES),
+        *more,
     )
 
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tillcast.schema import MERCHANT
+from tillcast.schema import MERCHANT, MONTH
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Write ``df`` as Parquet in place of what is at ``path``.
+def publish(df: DataFrame, folder: str) -> str:
+    """Write ``df`` as Parquet to a new folder below ``folder`` and return its path.
 
-    Each file is in merchant order, so that reading one merchant skips most row groups.
+    Lookups that read an earlier version go on undisturbed; hand the new path on. Each file
+    is in merchant and month order, so that reading one merchant skips most row groups.
     """
-    df.sortWithinPartitions(MERCHANT).write.mode("overwrite").parquet(path)
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df.sortWithinPartitions(*[c for c in (MERCHANT, MONTH) if c in df.columns]).write.parquet(path)
+    return path
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
