@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN_BYTES = 4 << 20
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 ENCODE = """
 WITH RECURSIVE step AS (
