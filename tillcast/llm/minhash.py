@@ -427,7 +427,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
         rest = written(rest.join(tried, ["doc", "lead"], "left_anti"), f"{folder}/tried-{k}")
         more = written(confirmed(rest, texts), f"{folder}/links-{k}")
         tried, links = tried.unionByName(rest), links.unionByName(more)
-        parts = components(links, f"{folder}/parts-{k}")
+        if not more.isEmpty():  # else the components are what they were
+            parts = components(links, f"{folder}/parts-{k}")
 
     labels = placed.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
