@@ -14,12 +14,12 @@ How the work stays in proportion to the input:
 * Only where a bucket still holds several components are its documents compared across them, by
   bit counts in blocks of bounded size: first the best pairs that could join the components of
   a block, then, if some are still apart, all pairs that may reach the threshold by an estimate
-  from 640 minima.
+  from 1,664 minima.
   So no link between components is left out, and a bucket of near copies brings forth about as
   many pairs as it has documents.
 
 A band misses a pair of similarity 0.75 so often that all 32 do in 5 of a million cases; the estimates
-(five standard deviations below 0.75 for 128 minima, 4.2 for 640) drop one of 70,000. Both are for pairs
+(five standard deviations below 0.75 for 128 minima, 4.2 for 1,664) drop one of 70,000. Both are for pairs
 exactly at the threshold that nothing else connects; more similar ones are missed far less often.
 """
 
@@ -61,7 +61,7 @@ def least_equal(positions: int, deviations: float) -> int:
 
 MIN_EQUAL = least_equal(MINIMA, 5)
 #: Further minima of documents that meet others in a bucket, for a sharper estimate there.
-WIDE = 512
+WIDE = 1536
 MIN_EQUAL_WIDE = least_equal(MINIMA + WIDE, 4.2)
 #: Documents of a bucket that are compared with each other at once.
 BLOCK = 512
