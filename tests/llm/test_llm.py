@@ -184,6 +184,21 @@ def test_caps(spark):
         assert by_id[i]["n_links"] == 0 and by_id[i]["component_id"] == i and by_id[i]["kept"]
 
 
+@pytest.mark.parametrize("n", [20_000, 1_000_000, 10_000_000])
+def test_caps_recall_at_any_number_of_filters(n):
+    words = caps.words_for(n)
+    t = caps.threshold(64, words)
+    for cosine, missed in ((0.9, 0.003), (0.95, 0.001)):
+        owned = []
+        for side in caps.pairs_at(64, 3_000, cosine, 9):
+            row, cap = caps.decoded(side, words, t)
+            assert np.bincount(row, minlength=3_000).min() >= caps.FEWEST
+            assert len(row) < 60 * 3_000
+            owned.append(set(zip(row.tolist(), cap.tolist())))
+        met = {row for row, _ in owned[0] & owned[1]}
+        assert len(met) >= (1 - missed) * 3_000
+
+
 def test_packing(spark, docs, texts, empty):
     found = packing.pack_documents(docs, JSON, keep_ids=True).toPandas()
     tokenizer = Tokenizer.from_file(JSON)

@@ -1,18 +1,20 @@
 """Near copies among vectors by spherical-cap filters.
 
 A filter is a random direction; a vector belongs to all filters whose inner product with it exceeds a
-threshold. Directions form a product code: each half of a direction is one of a few random
+threshold. Directions form product codes: each half of a direction is one of a few random
 vectors, so a vector is scored against the halves and its list of filters is decoded from those
-scores, without looking at most of the directions. Vectors that share a filter are compared
+scores, without looking at most of the directions. Directions of one code are correlated, so that many pairs would
+share no filter of it at any number of filters; ``CODES`` codes with rotations of their own share the filters instead. Vectors that share a filter are compared
 exactly, in double precision and in blocks of bounded size; a full filter is spread over pairs of blocks.
 
 Pairs are counted where they are found, not emitted: a pair counts in the first filter its
 vectors share, and a block hands on each vector's number of links and a forest of them, so its
 output is as large as the block. Equal vectors are one class, found by a grouped minimum.
 
-The number of filters follows the number of vectors, so that filters hold about ``LOAD`` vectors at any
-size, and the threshold follows from the number of filters that two vectors at the least similarity should
-share. Of pairs exactly there about one in a thousand is missed; recall is measured in the tests.
+The number of filters follows the number of vectors of a length, so that filters hold about one to two times
+``LOAD`` vectors at any size. The threshold is measured, with the very directions used, on random pairs at the least
+similarity: ``MISSED`` of them share no filter, fewer of closer ones. Vectors in few filters get a lower threshold.
+Up to ``LOAD`` vectors of a length are all compared. Tests measure recall at filter counts of up to 10 million vectors.
 
 Vectors that are null, empty or zero or hold null or non-finite components, and rows without id, link with
 nothing. Vectors of different lengths do not link. Rows of one id are one vector with several places.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,53 +37,104 @@ from tillcast.llm.graph import components
 
 MIN_COSINE = 0.9
 LOAD = 1_000
-#: Filters that two vectors at the least similarity share on average.
-SHARED = 18
+#: Independent product codes; each has its share of the filters.
+CODES = 16
+#: Share of pairs at the least similarity without a common filter, as measured on ``TRIALS`` random pairs.
+MISSED = 0.0005
+TRIALS = 8_000
+TRIED = 24
+#: Filters every vector belongs to at least, and the steps, in standard deviations, by which its threshold is lowered for it.
+FEWEST = 4
+LOWERED = 0.25
 BLOCK = 1_024
 #: Shorter vectors all meet in one filter: caps of few dimensions are too coarse.
 MIN_LENGTH = 16
 
 
-def both_exceed(t: float, cosine: float) -> float:
-    """Chance that two standard normal scores of this correlation both exceed ``t``."""
-    x = np.linspace(t, t + 8, 4001)
-    rest = np.array([math.erfc((t - cosine * v) / math.sqrt(2 * (1 - cosine**2))) / 2 for v in x])
-    return float(np.trapezoid(np.exp(-(x**2) / 2) / math.sqrt(2 * math.pi) * rest, x))
+def words_for(n: int) -> int:
+    """Random halves of each kind in each code, for ``n`` distinct vectors of a length."""
+    return max(8, math.isqrt(round(n * 20 / LOAD / CODES)))
 
 
-def threshold(filters: int, cosine: float = MIN_COSINE) -> float:
-    """Score, in standard deviations, that leaves ``SHARED`` common filters on average."""
-    low, high = -8.0, 8.0
-    while high - low > 1e-6:
-        t = (low + high) / 2
-        low, high = (t, high) if filters * both_exceed(t, cosine) > SHARED else (low, t)
-    return low
+@lru_cache(16)
+def code(length: int, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The random halves of the directions for vectors of one length: ``CODES`` pairs, each rotated by itself."""
+    rng = np.random.default_rng([length, words])
+    pairs = []
+    for _ in range(CODES):
+        rotation = np.linalg.qr(rng.standard_normal((length, length)))[0]
+        halves = []
+        for basis in (rotation[: length // 2], rotation[length // 2 :]):
+            rows = rng.standard_normal((words, len(basis)))
+            rows *= math.sqrt(len(basis) / length) / np.linalg.norm(rows, axis=1, keepdims=True)
+            halves.append(rows @ basis)
+        pairs.append((halves[0], halves[1]))
+    return pairs
 
 
-def code(length: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The random halves of the directions for vectors of one length."""
-    rng = np.random.default_rng([length, words])
-    halves = []
-    for size in (length // 2, length - length // 2):
-        rows = rng.standard_normal((words, size))
-        rows *= math.sqrt(size / length) / np.linalg.norm(rows, axis=1, keepdims=True)
-        halves.append(rows)
-    return halves[0], halves[1]
+def pairs_at(length: int, n: int, cosine: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` random pairs of unit vectors with this similarity."""
+    rng = np.random.default_rng([length, n, seed])
+    x, z = rng.standard_normal((2, n, length))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine**2) * z
+
+
+def threshold(length: int, words: int, cosine: float = MIN_COSINE) -> float:
+    """Score, in standard deviations, above which all but ``MISSED`` of random pairs share a filter.
+
+    A pair shares one up to the largest of all directions' smaller scores. Only the ``TRIED`` most promising
+    first halves of a code are looked at, so the value is that threshold or a lower one.
+    """
+    x, y = pairs_at(length, TRIALS, cosine, 1)
+    best = np.full(TRIALS, -np.inf)
+    for first, second in code(length, words):
+        tried = min(words, TRIED)
+        for k in range(0, TRIALS, 256):
+            a, b = x[k : k + 256] @ first.T, x[k : k + 256] @ second.T
+            c, d = y[k : k + 256] @ first.T, y[k : k + 256] @ second.T
+            bound = np.minimum(a + b.max(axis=1, keepdims=True), c + d.max(axis=1, keepdims=True))
+            for i in np.argpartition(-bound, tried - 1, axis=1)[:, :tried].T:
+                i = i[:, None]
+                both = np.minimum(np.take_along_axis(a, i, 1) + b, np.take_along_axis(c, i, 1) + d)
+                best[k : k + 256] = np.maximum(best[k : k + 256], both.max(axis=1))
+    return float(np.sort(best)[int(MISSED * TRIALS)]) * math.sqrt(length)
 
 
 def decoded(vectors: np.ndarray, words: int, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of unit ``vectors`` and the filters they belong to, in order of rows and filters."""
+    """Rows of unit ``vectors`` and the filters they belong to, in order of rows and filters.
+
+    With no ``words`` all belong to one filter. Who exceeds the threshold in less than ``FEWEST`` filters gets a lower one.
+    """
     n, length = vectors.shape
-    if length < MIN_LENGTH:
+    if not words:
         return np.arange(n), np.zeros(n, dtype=np.int64)
-    first, second = code(length, words)
-    one = vectors[:, : length // 2] @ first.T
-    other = vectors[:, length // 2 :] @ second.T
-    need = t / math.sqrt(length)
-    # Only first halves that some second half can complete are looked at.
-    row, i = np.nonzero(one + other.max(axis=1, keepdims=True) >= need)
-    pair, j = np.nonzero(other[row] >= (need - one[row, i])[:, None])
-    return row[pair], i[pair] * words + j
+    need = np.full(n, t / math.sqrt(length))
+    rows, found, left = [], [], np.arange(n)
+    while len(left):
+        row, cap = _exceeded(vectors[left], words, need[left])
+        few = np.bincount(row, minlength=len(left)) < FEWEST
+        rows.append(left[row[~few[row]]])
+        found.append(cap[~few[row]])
+        left = left[few]
+        need[left] -= LOWERED / math.sqrt(length)
+    row, cap = np.concatenate(rows), np.concatenate(found)
+    order = np.lexsort((cap, row))
+    return row[order], cap[order]
+
+
+def _exceeded(vectors: np.ndarray, words: int, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows, found = [], []
+    for k, (first, second) in enumerate(code(vectors.shape[1], words)):
+        one, other = vectors @ first.T, vectors @ second.T
+        # Only first halves that some second half can complete are looked at.
+        row, i = np.nonzero(one + other.max(axis=1, keepdims=True) >= need[:, None])
+        pair, j = np.nonzero(other[row] >= (need[row] - one[row, i])[:, None])
+        rows.append(row[pair])
+        found.append((k * words + i[pair]) * words + j)
+    return np.concatenate(rows), np.concatenate(found)
 
 
 def _vectors(array: pa.Array) -> list[np.ndarray]:
@@ -89,7 +143,7 @@ def _vectors(array: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def _decode(words: int, t: float):
+def _decode(plans: dict[int, tuple[int, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (rep, copies, embedding) to (rep, copies, unit, filters)."""
         for batch in batches:
@@ -102,7 +156,7 @@ def _decode(words: int, t: float):
                     unit = np.stack([vectors[i] for i in own])
                     unit /= np.abs(unit).max(axis=1, keepdims=True)
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    row, found = decoded(unit, words, t)
+                    row, found = decoded(unit, *plans.get(int(length), (0, 0.0)))
                     ends = np.searchsorted(row, np.arange(len(own) + 1)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -147,16 +201,7 @@ def _block_links(rows: list, block: tuple) -> Iterator[pa.RecordBatch]:
         linked &= ~np.tri(len(linked), dtype=bool)
     if not linked.any():
         return
-    earlier = sorted({f for side in sides for r in side for f in r[4] if f < block[0]})
-    if earlier:
-        place = {f: k for k, f in enumerate(earlier)}
-        marks = []
-        for side in sides:
-            mark = np.zeros((len(side), len(earlier)), dtype=np.float32)
-            for k, r in enumerate(side):
-                mark[k, [place[f] for f in r[4] if f < block[0]]] = 1
-            marks.append(mark)
-        linked &= (marks[0] @ marks[1].T) == 0
+    _drop_met(linked, [[r[4] for r in side] for side in sides], block[0])
     reps = [np.array([r[1] for r in side], dtype=np.int64) for side in sides]
     copies = [np.array([r[2] for r in side], dtype=np.int64) for side in sides]
     ids = np.concatenate(reps)
@@ -169,6 +214,26 @@ def _block_links(rows: list, block: tuple) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
 
 
+def _drop_met(linked: np.ndarray, filters: list[list], cap: int) -> None:
+    """Take out of ``linked`` the pairs that share a filter before ``cap``."""
+    marks = []
+    for own, busy in zip(filters, (linked.any(axis=1), linked.any(axis=0))):
+        at = np.flatnonzero(busy)
+        held = [np.array(own[k], dtype=np.int64) for k in at]
+        held = [x[x < cap] for x in held]
+        marks.append((np.repeat(at, [len(x) for x in held]), np.concatenate(held)))
+    shared = np.intersect1d(marks[0][1], marks[1][1])
+    for k in range(0, len(shared), BLOCK):
+        some, sides = shared[k : k + BLOCK], []
+        for (row, found), own in zip(marks, filters):
+            place = np.minimum(np.searchsorted(some, found), len(some) - 1)
+            hit = some[place] == found
+            mark = np.zeros((len(own), len(some)), dtype=np.float32)
+            mark[row[hit], place[hit]] = 1
+            sides.append(mark)
+        linked &= (sides[0] @ sides[1].T) == 0
+
+
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     """Pairs that connect the same rows and columns as all pairs of ``linked``."""
     height, width = linked.shape
@@ -207,25 +272,26 @@ def linked_vectors(table: DataFrame) -> DataFrame:
     )
     digests = [F.xxhash64("embedding").alias("set_1"), F.xxhash64(F.lit(7), "embedding").alias("set_2")]
     usable = own.where(sound & F.col("vec_id").isNotNull())
-    named = usable.select("vec_id", *digests)
+    named = usable.select("vec_id", F.size("embedding").alias("length"), *digests)
     classes = named.groupBy("set_1", "set_2").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")
     )
     placed = written(
-        named.join(classes, ["set_1", "set_2"]).select("vec_id", "rep", "copies", "set_1", "set_2"),
+        named.join(classes, ["set_1", "set_2"]).select("vec_id", "rep", "copies", "length", "set_1", "set_2"),
         f"{folder}/placed",
     )
-    reps = placed.where("vec_id = rep").select("rep", "copies", "set_1", "set_2").distinct()
-    n = reps.count()
-    words = max(16, math.isqrt(max(0, round(n * 20 / LOAD))))
-    t = threshold(words * words)
+    reps = placed.where("vec_id = rep").select("rep", "copies", "length", "set_1", "set_2").distinct()
+    # Each length named here has more than ``LOAD`` vectors; the others all meet in one filter.
+    sizes = reps.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.where((F.col("length") >= MIN_LENGTH) & (F.col("n") > LOAD)).collect()
+    plans = {r["length"]: (words_for(r["n"]), threshold(r["length"], words_for(r["n"]))) for r in sizes}
     vectors = written(
         usable.select("vec_id", "embedding", *digests)
         .dropDuplicates(["vec_id", "set_1", "set_2"])
-        .join(reps, ["set_1", "set_2"])
+        .join(reps.drop("length"), ["set_1", "set_2"])
         .where("vec_id = rep")
         .select("rep", "copies", "embedding")
-        .mapInArrow(_decode(words, t), "rep bigint, copies bigint, unit binary, filters array<bigint>"),
+        .mapInArrow(_decode(plans), "rep bigint, copies bigint, unit binary, filters array<bigint>"),
         f"{folder}/vectors",
     )
     seats = vectors.select("rep", F.explode("filters").alias("cap"))
