@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.functions.lineage import cut_lineage
+from tillcast.functions.lineage import scratch
 from tillcast.operators.cleaning import clean_transactions, rejected_transactions
 from tillcast.operators.eligibility import asof_features, judge_eligibility, windowed_eligibility
 from tillcast.operators.encoding import encode_categories
-from tillcast.operators.evaluation import rmse, score_holdout, split_cutoff, temporal_split
+from tillcast.operators.evaluation import (
+    holdout_features,
+    rmse,
+    score_holdout,
+    split_cutoff,
+    temporal_split,
+)
 from tillcast.operators.features import model_features
 from tillcast.operators.forecasting import (
     mean_forecast,
@@ -30,7 +36,13 @@ from tillcast.operators.offers import (
 )
 from tillcast.operators.series import continuous_series, month_calendar
 from tillcast.operators.streaks import positive_streaks
-from tillcast.operators.training import train_forecaster
+from tillcast.operators.training import (
+    FULL_DEPTHS,
+    FULL_TREES,
+    assembled_examples,
+    search_settings,
+    train_forecaster,
+)
 from tillcast.plans.scoring import forecast_all, offers_from_transactions
 from tillcast.schema import (
     CODES,
@@ -43,11 +55,11 @@ from tillcast.schema import (
 )
 from tillcast.sources import panels
 
-try:  # both can be taken out of the repository together
+try:  # both can be taken out of the repository together, and need modules that the rest does without
     import corpus_pipeline
     from tillcast.llm import queries as llm
 except ModuleNotFoundError as missing:
-    if missing.name not in ("tillcast.llm", "corpus_pipeline"):
+    if missing.name.startswith("tillcast") and not missing.name.startswith("tillcast.llm"):
         raise
     llm = None
 
@@ -381,39 +393,89 @@ def recursive_forecast_direct(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(forecasts, PREDICTION)
 
 
-# Sales that follow the season alone, in unequal steps: a tree of some depth learns them exactly, so
-# that what a trained model predicts can be said in SQL. A tree of depth 1 cannot.
-SEASONS = ((3, 1000.0), (6, 2500.0), (9, 7000.0), (12, 20000.0))
-DEPTHS, TREES = (1, 4), (1, 2)
+# --- training on sales that follow a planted rule ------------------------------------
+
+#: The time that a search takes is bounded: fits end when held-out errors no longer change.
+FLAT = 1e-12
+
 
+def planted_series(spark: SparkSession, folder: str) -> DataFrame:
+    return continuous_series(
+        panels.planted_transactions(spark, folder), panels.supplier_bounds(spark, folder)
+    )
 
-def seasonal_series(spark: SparkSession, folder: str) -> DataFrame:
-    """Every merchant and month of the line items, with sales by the season."""
-    month = F.month(MONTH)
-    sales = F.lit(SEASONS[-1][1])
-    for last, amount in reversed(SEASONS[:-1]):
-        sales = F.when(month <= last, F.lit(amount)).otherwise(sales)
-    return cut_lineage(supplier_series(spark, folder).withColumn(SALES, sales))
 
+def by_supplier() -> Column:
+    """Three folds, both merchants of a supplier in the same one."""
+    return (F.substring_index(MERCHANT, "-", 1).cast("bigint") % 3).cast("int")
 
-def search(series: DataFrame) -> PipelineModel:
-    return train_forecaster(series, DEPTHS, TREES, parallelism=4, include_current=False)
+
+def planted_model(series: DataFrame) -> PipelineModel:
+    """The whole search, four settings and three folds."""
+    return train_forecaster(
+        series,
+        FULL_DEPTHS,
+        FULL_TREES,
+        parallelism=4,
+        include_current=False,
+        fold=by_supplier(),
+        min_gain=1e-6,
+        tolerance=FLAT,
+    )
 
 
 def model_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The depth that cross-validation over all settings picks."""
-    regressor = search(seasonal_series(spark, folder)).stages[-1]
-    return spark.range(1).select(F.lit(regressor.getMaxDepth()).alias("max_depth"))
+    """Held-out error of all four settings, and which one is chosen."""
+    with scratch(spark) as place:
+        examples, _ = assembled_examples(
+            planted_series(spark, folder), None, False, by_supplier(), place
+        )
+        found = search_settings(
+            examples, FULL_DEPTHS, FULL_TREES, parallelism=4, min_gain=1e-6, tolerance=FLAT
+        )
+    rows = [(s.depth, s.trees, round(s.rmse, 2), s.chosen) for s in found]
+    return spark.createDataFrame(rows, "max_depth int, trees int, rmse double, chosen boolean")
 
 
 def trained_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    series = seasonal_series(spark, folder)
-    return rounded(model_forecast(series, search(series), include_current=False), PREDICTION)
+    series = planted_series(spark, folder)
+    forecasts = model_forecast(series, planted_model(series), include_current=False)
+    return forecasts.withColumn(PREDICTION, F.round(PREDICTION, 2))
 
 
 def trained_rmse(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = temporal_split(seasonal_series(spark, folder))
-    return rounded(rmse(score_holdout(search(train), test, include_current=False)), "rmse")
+    """Error on the test months, by features that start anew there and that look back."""
+    train, test = temporal_split(
+        planted_series(spark, folder),
+        cutoff=split_cutoff(month_calendar(panels.supplier_bounds(spark, folder))),
+    )
+    model = planted_model(train)
+
+    def scored(name: str, history: DataFrame | None) -> DataFrame:
+        rows = score_holdout(model, test, include_current=False, history=history)
+        error = rmse(rows).select(F.round("rmse", 2)).scalar()
+        return rows.agg(
+            F.lit(name).alias("features"), F.count(F.lit(1)).alias("row_count"), error.alias("rmse")
+        )
+
+    return scored("restart", None).unionByName(scored("across", train))
+
+
+def features_across(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of the test months that look back over the cutoff."""
+    train, test = temporal_split(
+        customer_series(spark, folder),
+        cutoff=split_cutoff(month_calendar(panels.customer_bounds(spark, folder))),
+    )
+    return rounded(
+        holdout_features(test, include_current=True, history=train).drop("has_transactions"),
+        SALES,
+        "sales_lag_1",
+        "sales_lag_2",
+        "sales_lag_3",
+        "ma_3_months",
+        "ma_6_months",
+    )
 
 
 def queries() -> dict[str, Query]:
@@ -455,6 +517,7 @@ def queries() -> dict[str, Query]:
         "model_search": model_search,
         "model_forecast": trained_forecast,
         "model_holdout_rmse": trained_rmse,
+        "holdout_features_across": features_across,
     } | ({**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {})
 
 
@@ -725,6 +788,34 @@ SELECT {code}, row_number() OVER (ORDER BY count(*) DESC, {code}) - 1 AS slot
 FROM codes GROUP BY {code}"""
 
 
+def _rule_sql() -> str:
+    """What the planted rule gives for a merchant and month."""
+    seasons = " ".join(f"WHEN month(transaction_month) <= {m} THEN {x}" for m, x in panels.SEASONS)
+    steps = [f"CASE {seasons} END"]
+    for code, amounts in zip(CODES, (panels.REGION_STEPS, panels.NATION_STEPS)):
+        cases = " ".join(f"WHEN {code} = '{name}' THEN {x}" for name, x in amounts.items())
+        steps.append(f"CASE {cases} ELSE 0 END")
+    return "(" + " + ".join(steps) + ")"
+
+
+PLANTED = {
+    "bounds": """
+SELECT date_trunc('month', min(l_shipdate)) AS lo, date_trunc('month', max(l_shipdate)) AS hi
+FROM lineitem""",
+    "merchants": f"""
+SELECT s_suppkey AS supplier, twin, s_suppkey || '-' || twin AS anonymous_uu_id,
+       currency_code, country_code
+FROM supplier JOIN ({SUPPLIER["codes"]}) c ON c.anonymous_uu_id = CAST(s_suppkey AS VARCHAR)
+CROSS JOIN (VALUES ('a'), ('b')) t(twin)""",
+    "planted": """
+SELECT *, CASE WHEN month(transaction_month) < 12 THEN 0
+               ELSE CASE twin WHEN 'a' THEN 1 ELSE -1 END
+                    * ((supplier * 7 + year(transaction_month)) % 11 + 1) * 50.0 END AS noise
+FROM merchants CROSS JOIN (
+  SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS transaction_month
+  FROM bounds)""",
+}
+
 SLOTS = {
     "codes": CUSTOMER["codes"],
     "currency_slots": _slots_sql("currency_code"),
@@ -851,18 +942,37 @@ SELECT r.request, r.anonymous_uu_id, o.anonymous_uu_id IS NOT NULL AS found,
        coalesce(is_eligible, false) AS is_eligible, round(advance_amount, 4) AS advance_amount
 FROM requests r LEFT JOIN offers o ON r.anonymous_uu_id = o.anonymous_uu_id""",
         ),
-        "model_search": "SELECT 4 AS max_depth",
-        "model_forecast": _with(
-            supplier,
+        "model_search": _with(
+            PLANTED,
             """
-SELECT anonymous_uu_id, month AS transaction_month,
-       CASE WHEN month(month) <= 3 THEN 1000.0 WHEN month(month) <= 6 THEN 2500.0
-            WHEN month(month) <= 9 THEN 7000.0 ELSE 20000.0 END AS prediction
+SELECT CAST(depth AS INT) AS max_depth, CAST(trees AS INT) AS trees, round(avg(error), 2) AS rmse,
+       depth = 5 AND trees = 300 AS chosen
+FROM (
+  SELECT supplier % 3 AS fold, sqrt(avg(noise * noise)) AS error FROM planted
+  WHERE transaction_month >= (SELECT lo + INTERVAL 3 MONTH FROM bounds) GROUP BY fold)
+CROSS JOIN (VALUES (5), (10)) d(depth) CROSS JOIN (VALUES (300), (500)) t(trees)
+GROUP BY depth, trees""",
+        ),
+        "model_forecast": _with(
+            PLANTED,
+            f"""
+SELECT anonymous_uu_id, transaction_month, CAST({_rule_sql()} AS DOUBLE) AS prediction
 FROM merchants CROSS JOIN (
-  SELECT CAST(hi + to_months(CAST(k AS INTEGER)) AS DATE) AS month
+  SELECT CAST(hi + to_months(CAST(k AS INTEGER)) AS DATE) AS transaction_month
   FROM bounds CROSS JOIN range(1, 7) t(k))""",
         ),
-        "model_holdout_rmse": "SELECT CAST(0 AS DOUBLE) AS rmse",
+        "model_holdout_rmse": _with(
+            PLANTED | {"series": "SELECT * FROM planted"} | SPLIT,
+            """
+SELECT features, count(*) AS row_count, round(sqrt(avg(noise * noise)), 2) AS rmse
+FROM planted CROSS JOIN cutoff CROSS JOIN (VALUES ('restart', 3), ('across', 0)) f(features, lost)
+WHERE transaction_month >= cut + to_months(CAST(lost AS INTEGER)) GROUP BY features""",
+        ),
+        "holdout_features_across": _with(
+            customer | SPLIT,
+            f"""
+SELECT f.* FROM ({_features_sql(last=0)}) f CROSS JOIN cutoff WHERE transaction_month >= cut""",
+        ),
         "rejected_by_calendar": _with(
             DIRTY,
             """

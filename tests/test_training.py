@@ -5,21 +5,34 @@ import math
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressionModel
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import functions as F
 
 from conftest import TRANSACTIONS, month, months
-from tillcast.functions.lineage import cut_lineage
+from tillcast.functions.lineage import cut_lineage, scratch
 from tillcast.operators.encoding import encode_categories, fit_encoder
 from tillcast.operators.evaluation import (
     evaluate,
+    holdout_features,
     rmse,
     score_holdout,
     split_cutoff,
     temporal_split,
 )
-from tillcast.operators.features import FEATURES
+from tillcast.operators.features import FEATURES, model_features
 from tillcast.operators.forecasting import model_forecast
 from tillcast.operators.series import continuous_series
-from tillcast.operators.training import load_model, model_inputs, save_model, train_forecaster
+from tillcast.operators.training import (
+    assembled_examples,
+    load_model,
+    model_inputs,
+    random_folds,
+    regressor,
+    rmse_evaluator,
+    save_model,
+    search_settings,
+    train_forecaster,
+)
 from tillcast.plans.training import train_and_evaluate
 
 
@@ -96,6 +109,46 @@ def test_missing_and_untrained_models(spark, tmp_path):
         save_model(None, str(tmp_path / "nothing"))
 
 
+def test_search_is_the_plain_search(spark, series, tmp_path):
+    """Every setting fitted in every fold, by Spark's own search over the same folds."""
+    depths, trees = (1, 3), (2, 6, 4)
+    examples, stages = assembled_examples(series, None, True, random_folds(3), str(tmp_path))
+    found = search_settings(examples, depths, trees, parallelism=3)
+    plain = regressor(1, 1)
+    grid = ParamGridBuilder().addGrid(plain.maxDepth, depths).addGrid(plain.maxIter, trees).build()
+    searched = CrossValidator(
+        estimator=plain, estimatorParamMaps=grid, evaluator=rmse_evaluator(), numFolds=3, foldCol="fold", parallelism=3
+    ).fit(examples)
+    assert [s.rmse for s in found] == pytest.approx(searched.avgMetrics)
+    assert [(s.depth, s.trees) for s in found] == [(d, t) for d in depths for t in trees]
+    assert [s.fitted for s in found] == [2, 6, 4] * 2
+    best = next(s for s in found if s.chosen)
+    assert (best.depth, best.trees) == (searched.bestModel.getMaxDepth(), searched.bestModel.getNumTrees)
+    own = train_forecaster(series, depths, trees, parallelism=3)
+    assert own.stages[-1].toDebugString.split("\n")[1:] == searched.bestModel.toDebugString.split("\n")[1:]
+
+
+def test_a_flat_fit_ends_early(series, tmp_path):
+    """Sales by the month of the year alone: the first trees know all."""
+    flat = series.withColumn("sales_amount_actual", F.month("transaction_month") * 100.0)
+    examples, _ = assembled_examples(flat, None, True, random_folds(2), str(tmp_path))
+    found = search_settings(examples, (1, 5), (30, 60), folds=2, parallelism=2, tolerance=1e-9)
+    by_depth = {s.depth: s for s in found if s.trees == 60}
+    assert by_depth[5].fitted < 30 and by_depth[5].rmse < 1
+    assert [(s.depth, s.trees) for s in found if s.chosen] == [(5, 30)]
+    model = train_forecaster(flat, (1, 5), (30, 60), folds=2, parallelism=2, tolerance=1e-9)
+    assert model.stages[-1].getNumTrees == by_depth[5].fitted
+
+
+def test_folds_do_not_depend_on_partitions(series):
+    def folds(df):
+        return sorted(df.select("anonymous_uu_id", "transaction_month", random_folds(3).alias("f")).collect())
+
+    found = folds(series)
+    assert found == folds(series.repartition(5, "sales_amount_actual"))
+    assert {r.f for r in found} == {0, 1, 2}
+
+
 def test_grid_search_picks_the_better_depth(series):
     best = train_forecaster(series, depths=(1, 4), trees=(5,), folds=2, parallelism=2)
     assert best.stages[-1].getMaxDepth() == 4
@@ -147,6 +200,32 @@ def test_evaluate_is_the_rmse_of_the_scored_rows(series, model):
     assert evaluate(model, test) == pytest.approx(rmse(scored).first().rmse)
 
 
+@pytest.mark.parametrize("include_current", [True, False])
+def test_features_across_the_cutoff_are_those_of_the_whole_series(series, include_current):
+    train, test = temporal_split(series)
+    first = split_cutoff(series).first().cutoff
+    found = holdout_features(test, include_current, history=train)
+    whole = model_features(series, include_current).where(F.col("transaction_month") >= first)
+    assert found.columns == whole.columns
+    assert sorted(found.collect()) == sorted(whole.collect())
+    assert found.count() == 6 * 9
+
+
+def test_features_across_the_cutoff_of_short_histories(spark, transactions):
+    df = continuous_series(transactions(("m", months("2021-01", 4), [1, 2, 3, 4])))
+    train, test = temporal_split(df)
+    assert [r.sales_lag_3 for r in holdout_features(test, True, train).collect()] == [1.0]
+    assert holdout_features(test, True, train.limit(0)).count() == 0
+    assert holdout_features(test.limit(0), True, train).count() == 0
+
+
+def test_evaluate_across_the_cutoff(series, model):
+    train, test = temporal_split(series)
+    scored = score_holdout(model, test, history=train)
+    assert scored.count() == 6 * 9
+    assert evaluate(model, test, history=train) == pytest.approx(rmse(scored).first().rmse)
+
+
 def test_training_job(spark, tmp_path):
     path = tmp_path / "transactions.csv"
     lines = [
@@ -160,8 +239,14 @@ def test_training_job(spark, tmp_path):
     ]
     path.write_text("\n".join(lines) + "\n")
     model_path = str(tmp_path / "model")
-    error = train_and_evaluate(spark, str(path), model_path, depths=(2,), trees=(3,))
+    place = tmp_path / "intermediate"
+    error = train_and_evaluate(spark, str(path), model_path, depths=(2,), trees=(3,), folder=str(place))
     assert 0 < error < 3000
+    across = train_and_evaluate(
+        spark, str(path), model_path, depths=(2,), trees=(3,), folder=str(place), across_cutoff=True
+    )
+    assert 0 < across < 3000 and across != error
+    assert list(place.glob("scratch-*")) == []
     assert isinstance(load_model(spark, model_path), PipelineModel)
 
 
@@ -170,3 +255,24 @@ def test_lineage_is_cut_at_the_given_folder(spark, tmp_path):
     assert str(tmp_path) in kept.inputFiles()[0]
     assert "Exchange" not in kept._jdf.queryExecution().toString()
     assert kept.count() == 10
+
+
+def test_scratch_leaves_nothing(spark, tmp_path):
+    with scratch(spark, str(tmp_path)) as place:
+        assert cut_lineage(spark.range(10), place).count() == 10
+        assert len(list(tmp_path.glob("scratch-*/cut-*"))) == 1
+    assert list(tmp_path.glob("*")) == []
+    with pytest.raises(ZeroDivisionError):
+        with scratch(spark, str(tmp_path)) as place:
+            cut_lineage(spark.range(10), place)
+            1 / 0
+    assert list(tmp_path.glob("*")) == []
+    with scratch(spark, str(tmp_path)):
+        pass  # nothing was written
+
+
+def test_training_leaves_no_intermediate_table(series, tmp_path):
+    train_forecaster(series, depths=(1,), trees=(1, 2), folds=2, folder=str(tmp_path))
+    with pytest.raises(Exception):
+        train_forecaster(series, depths=(99,), trees=(1,), folder=str(tmp_path))
+    assert list(tmp_path.glob("*")) == []

@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.operators.features import model_features
+from tillcast.operators.features import LONGEST_AVERAGE, model_features
 from tillcast.operators.training import rmse_evaluator
 from tillcast.schema import MONTH, PREDICTION, SALES
 
@@ -45,13 +45,42 @@ def rmse(df: DataFrame, label: str = SALES, prediction: str = PREDICTION) -> Dat
     return df.agg(F.sqrt(F.avg(error * error)).alias("rmse"))
 
 
+def holdout_features(
+    test: DataFrame, include_current: bool = True, history: DataFrame | None = None
+) -> DataFrame:
+    """Model features of the test rows.
+
+    From the test rows alone, lags and averages restart and the first three months of a merchant are no
+    examples. With ``history``, the training rows, its last months go before the test rows as what
+    lags and averages look back on, and every observed test month has the features it would have
+    in the whole series. No more than six months of a merchant are carried over.
+    """
+    if history is None:
+        return model_features(test, include_current)
+    back = LONGEST_AVERAGE - 1 if include_current else LONGEST_AVERAGE
+    first_test = test.agg(F.min(MONTH).alias("first")).scalar()
+    carried = history.where(F.col(MONTH) >= F.add_months(first_test, -back))
+    joined = carried.withColumn("carried", F.lit(True)).unionByName(
+        test.withColumn("carried", F.lit(False))
+    )
+    return model_features(joined, include_current).where("NOT carried").drop("carried")
+
+
 def score_holdout(
-    model: PipelineModel, test: DataFrame, include_current: bool = True
+    model: PipelineModel,
+    test: DataFrame,
+    include_current: bool = True,
+    history: DataFrame | None = None,
 ) -> DataFrame:
-    """Test rows with the model's prediction; features come from the test rows alone."""
-    return model.transform(model_features(test, include_current))
+    """Test rows with the model's prediction, by :func:`holdout_features`."""
+    return model.transform(holdout_features(test, include_current, history))
 
 
-def evaluate(model: PipelineModel, test: DataFrame, include_current: bool = True) -> float:
+def evaluate(
+    model: PipelineModel,
+    test: DataFrame,
+    include_current: bool = True,
+    history: DataFrame | None = None,
+) -> float:
     """RMSE of the model on the test rows."""
-    return rmse_evaluator().evaluate(score_holdout(model, test, include_current))
+    return rmse_evaluator().evaluate(score_holdout(model, test, include_current, history))

@@ -9,6 +9,7 @@ from tillcast.schema import ENCODED, MERCHANT, MONTH, OBSERVED, SALES
 
 LAGS = ("sales_lag_1", "sales_lag_2", "sales_lag_3")
 AVERAGES = ("ma_3_months", "ma_6_months")
+LONGEST_AVERAGE = 6
 CALENDAR = ("month_of_year", "year")
 FEATURES = (*LAGS, *AVERAGES, *CALENDAR, *ENCODED)
 
@@ -24,7 +25,7 @@ def model_features(series: DataFrame, include_current: bool = True) -> DataFrame
     by_month = Window.partitionBy(MERCHANT).orderBy(MONTH)
     last = 0 if include_current else -1
     features = {name: F.lag(SALES, k).over(by_month) for k, name in enumerate(LAGS, start=1)}
-    for name, length in zip(AVERAGES, (3, 6)):
+    for name, length in zip(AVERAGES, (3, LONGEST_AVERAGE)):
         frame = by_month.rowsBetween(last - length + 1, last)
         features[name] = F.avg(SALES).over(frame)
     with_features = series.withColumns(features | calendar_features(F.col(MONTH)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
-from tillcast.functions.lineage import cut_lineage
+from tillcast.functions.lineage import cut_lineage, scratch
 from tillcast.operators.evaluation import evaluate, split_cutoff, temporal_split
 from tillcast.operators.training import FULL_DEPTHS, FULL_TREES, load_model, save_model, train_forecaster
 from tillcast.plans.preparation import series_from_raw
@@ -27,18 +27,21 @@ def train_and_evaluate(
     seed: int = 42,
     encoder: PipelineModel | None = None,
     folder: str | None = None,
+    across_cutoff: bool = False,
 ) -> float:
     """Train on the earlier months, save, and give the saved model's RMSE on the later.
 
-    The series is read by several jobs, so it is written once, below ``folder``.
+    With ``across_cutoff`` the first test months are scored too, by features that look back into the
+    training months. The series is read by several jobs, so it is written once, below ``folder``, and
+    removed at the end.
     """
-    series = cut_lineage(series_from_raw(read_raw_transactions(spark, transactions_path)), folder)
-    cutoff = cut_lineage(split_cutoff(series, test_fraction), folder)
-    train, test = temporal_split(series, cutoff=cutoff)
-    save_model(
-        train_forecaster(
-            train, depths, trees, folds, parallelism, seed, include_current, encoder, folder
-        ),
-        model_path,
-    )
-    return evaluate(load_model(spark, model_path), test, include_current)
+    with scratch(spark, folder) as place:
+        series = cut_lineage(series_from_raw(read_raw_transactions(spark, transactions_path)), place)
+        cutoff = cut_lineage(split_cutoff(series, test_fraction), place)
+        train, test = temporal_split(series, cutoff=cutoff)
+        model = train_forecaster(
+            train, depths, trees, folds, parallelism, seed, include_current, encoder, place
+        )
+        save_model(model, model_path)
+        history = train if across_cutoff else None
+        return evaluate(load_model(spark, model_path), test, include_current, history)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.functions.months import month_start
-from tillcast.operators.series import month_bounds
+from tillcast.functions.months import month_start, months_between_inclusive
+from tillcast.operators.series import calendar_ends, month_bounds
 from tillcast.schema import CODES, MERCHANT, MONTH_DT, RAW_COUNT, RAW_MONTH, RAW_SALES
 
 
@@ -153,6 +153,48 @@ def segment_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Planted sales by the last month of a season, by region and by nation. Unequal steps, so
+# that no two sums are the same.
+SEASONS = ((3, 1000.0), (6, 2500.0), (9, 7000.0), (12, 20000.0))
+REGION_STEPS = {"ASIA": 4000.0, "EUROPE": 1500.0}
+NATION_STEPS = {"CHINA": 600.0, "FRANCE": 300.0}
+
+
+def planted_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions whose sales follow a known rule with noise that no feature explains.
+
+    Every supplier is two merchants, ``-a`` and ``-b``, which sell once in every month of the line
+    items: an amount for the season, the region and the nation. In December one sells more and the other as
+    much less, by an amount that depends on supplier and year. Both have the same features then, so the best
+    that any model can do is the rule itself, and its error is the noise.
+    """
+    first, last = calendar_ends(supplier_bounds(spark, folder))
+    suppliers = _codes(
+        spark, folder, read_table(spark, folder, "supplier"), "s_suppkey", "s_nationkey"
+    )
+    rows = suppliers.select(
+        F.col(MERCHANT).alias("supplier"),
+        *CODES,
+        F.explode(F.array(F.lit("a"), F.lit("b"))).alias("twin"),
+    ).select("*", F.explode(months_between_inclusive(first, last)).alias(MONTH_DT))
+
+    season = F.lit(SEASONS[-1][1])
+    for until, amount in reversed(SEASONS[:-1]):
+        season = F.when(F.month(MONTH_DT) <= until, F.lit(amount)).otherwise(season)
+    steps = season
+    for code, amounts in zip(CODES, (REGION_STEPS, NATION_STEPS)):
+        for name, amount in amounts.items():
+            steps = steps + F.when(F.col(code) == name, F.lit(amount)).otherwise(F.lit(0.0))
+    noise = (F.pmod(F.col("supplier").cast("bigint") * 7 + F.year(MONTH_DT), F.lit(11)) + 1) * 50.0
+    signed = F.when(F.month(MONTH_DT) < 12, F.lit(0.0)).when(F.col("twin") == "a", noise)
+    return rows.select(
+        F.concat_ws("-", "supplier", "twin").alias(MERCHANT),
+        *CODES,
+        MONTH_DT,
+        (steps + signed.otherwise(-noise)).alias(RAW_SALES),
+    )
+
+
 def customer_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Every customer with its codes."""
     customers = read_table(spark, folder, "customer")
