@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -10,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.functions.lineage import scratch
+from tillcast.functions.lineage import scratch, shared_folder
 from tillcast.operators.cleaning import clean_transactions, rejected_transactions
 from tillcast.operators.eligibility import asof_features, judge_eligibility, windowed_eligibility
 from tillcast.operators.encoding import encode_categories
@@ -54,6 +55,8 @@ from tillcast.schema import (
     AdvancePolicy,
 )
 from tillcast.sources import panels
+from tillcast.sources.tables import publish, read_published
+from tillcast.streaming.requests import answer_requests, read_requests
 
 try:  # both can be taken out of the repository together, and need modules that the rest does without
     import corpus_pipeline
@@ -296,9 +299,12 @@ def order_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def forecast_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    answers = lookup_forecasts(
-        order_requests(spark, folder), supplier_forecast_direct(spark, folder)
+    return by_month(
+        lookup_forecasts(order_requests(spark, folder), supplier_forecast_direct(spark, folder))
     )
+
+
+def by_month(answers: DataFrame) -> DataFrame:
     months = {
         f"forecast_{k}": F.round(F.get("forecasted_sales", F.lit(k - 1)), 4)
         for k in range(1, HORIZON_MONTHS + 1)
@@ -307,7 +313,10 @@ def forecast_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def offer_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    answers = lookup_offers(order_requests(spark, folder), supplier_offers(spark, folder))
+    return offer_answers(lookup_offers(order_requests(spark, folder), supplier_offers(spark, folder)))
+
+
+def offer_answers(answers: DataFrame) -> DataFrame:
     return rounded(answers, "advance_amount").select(
         "request",
         MERCHANT,
@@ -325,13 +334,30 @@ def offers_for_requests(spark: SparkSession, folder: str) -> DataFrame:
         order_requests(spark, folder),
         jitter=0.0,
     )
-    return rounded(answers, "advance_amount").select(
-        "request",
-        MERCHANT,
-        "found",
-        F.coalesce("is_eligible", F.lit(False)).alias("is_eligible"),
-        "advance_amount",
-    )
+    return offer_answers(answers)
+
+
+def published_forecast_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``forecast_lookup``, from a published table and only those of its files that are needed."""
+    requests = order_requests(spark, folder)
+    path = publish(supplier_forecast_direct(spark, folder), shared_folder(spark))
+    return by_month(lookup_forecasts(requests, read_published(spark, path, requests)))
+
+
+def streamed_offer_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``offer_lookup``, by a stream of requests that is answered in several batches."""
+    place = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
+    order_requests(spark, folder).repartition(6, "request").write.json(f"{place}/requests")
+    path = publish(supplier_offers(spark, folder), place)
+    answer_requests(
+        read_requests(spark, f"{place}/requests", 3, "request BIGINT"),
+        path,
+        lookup_offers,
+        f"{place}/answers",
+        f"{place}/state",
+    ).awaitTermination()
+    fields = f"request BIGINT, {MERCHANT} STRING, found BOOLEAN, is_eligible BOOLEAN, advance_amount DOUBLE"
+    return offer_answers(spark.read.schema(fields).json(f"{place}/answers"))
 
 
 def split_supplier_sales(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -509,6 +535,8 @@ def queries() -> dict[str, Query]:
         "forecast_lookup": forecast_lookup,
         "offer_lookup": offer_lookup,
         "offers_for_requests": offers_for_requests,
+        "published_forecast_lookup": published_forecast_lookup,
+        "streamed_offer_lookup": streamed_offer_lookup,
         "temporal_split": split_sizes,
         "naive_rmse": naive_rmse,
         "recursive_forecast": recursive_forecast(include_current=True),
@@ -836,7 +864,7 @@ def oracle_sql() -> dict[str, str]:
         f" AS forecast_{k}"
         for k in range(1, 7)
     )
-    return {
+    found = {
         "monthly_sales": _with(
             SUPPLIER, "SELECT * REPLACE (round(sales_amount, 4) AS sales_amount) FROM panel"
         ),
@@ -1022,4 +1050,8 @@ WHERE transaction_month >= cut""",
         "recursive_forecast": _recursive_sql(include_current=True),
         "recursive_forecast_known_only": _recursive_sql(include_current=False),
         "recursive_forecast_direct": _recursive_sql(include_current=True),
-    } | (llm.oracle_sql() if llm else {})
+    }
+    # The same results by another way.
+    found["published_forecast_lookup"] = found["forecast_lookup"]
+    found["streamed_offer_lookup"] = found["offer_lookup"]
+    return found | (llm.oracle_sql() if llm else {})

@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import json
+import random
+
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
+from pyspark.sql import functions as F
 
 from conftest import month, months
 from tillcast.operators.forecasting import (
@@ -19,8 +23,8 @@ from tillcast.operators.offers import (
 )
 from tillcast.operators.series import continuous_series, month_bounds
 from tillcast.plans.scoring import forecast_all, offers_from_transactions
-from tillcast.sources.tables import publish, read_published
-from tillcast.streaming.requests import read_requests, write_answers
+from tillcast.sources.tables import needed_files, publish, read_manifest, read_published
+from tillcast.streaming.requests import answer_batch, answer_requests, read_requests, write_answers
 
 RATE = 0.10 / 1.15
 FORECASTS = "anonymous_uu_id string, transaction_month date, prediction double"
@@ -197,6 +201,108 @@ def test_earlier_versions_of_a_published_table_stay(spark, tmp_path, cleaned):
     assert read_published(spark, old).count() == 1
 
 
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """Forecasts of 2,000 merchants, one of them with half of all rows, published in many files."""
+    forecasts = spark.range(4000).select(
+        F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("m"), F.col("id") * 7919 % 10007)).alias("anonymous_uu_id"),
+        F.expr("add_months(date'1900-01-01', cast(id % 2000 as int))").alias("transaction_month"),
+        F.col("id").cast("double").alias("prediction"),
+    )
+    forecasts = forecasts.unionByName(forecasts.limit(1).withColumn("anonymous_uu_id", F.lit(None).cast("string")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return forecasts, publish(forecasts, str(tmp_path_factory.mktemp("published")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_published_files_are_one_sorted_table(spark, many):
+    forecasts, path = many
+    rows = read_published(spark, path).withColumn("file", F.col("_metadata.file_name")).withColumn("row", F.monotonically_increasing_id())
+    found = [(r.file, r.row, r.anonymous_uu_id or "", r.transaction_month) for r in rows.collect()]
+    in_files = [(m, t) for _, _, m, t in sorted(found, key=lambda r: (r[0], r[1]))]
+    assert in_files == sorted(in_files) and len(in_files) == forecasts.count()
+    manifest = {r.file: r for r in read_manifest(spark, path).collect()}
+    assert len(manifest) == 8
+    for file, entry in manifest.items():
+        names = [m for f, _, m, _ in found if f == file]
+        assert (entry["first"] or min(names), entry["last"], entry["rows"]) == (min(n for n in names if n) if entry["first"] else "", max(names), len(names))
+    assert sum(e["first"] <= "hot" <= e["last"] for e in manifest.values()) >= 3  # spread
+
+
+@pytest.mark.parametrize("asked", [["hot"], ["m1"], ["m1", "m9999", None], ["a"], ["zzz"], [None], [], ["hot", "m5", "nobody"]])
+def test_a_lookup_reads_only_its_files(spark, many, asked):
+    forecasts, path = many
+    requests = spark.createDataFrame([(a,) for a in asked], "anonymous_uu_id string")
+    table = read_published(spark, path, requests)
+    in_range = {
+        r.file
+        for r in read_manifest(spark, path).collect()
+        if any(a is not None and r["first"] <= a <= r["last"] for a in asked)
+    }
+    assert {f.rsplit("/", 1)[1] for f in table.inputFiles()} == in_range or not in_range and table.count() == 0
+    assert len(in_range) < 8
+    assert sorted(lookup_forecasts(requests, table).collect(), key=repr) == sorted(lookup_forecasts(requests, forecasts).collect(), key=repr)
+
+
+def test_files_by_blocks_of_boundaries(spark):
+    """Against every file's own range, with ties over several files."""
+    dice = random.Random(2)
+    for n in (1, 2, 3, 7, 50):
+        names = sorted(dice.choice("abcdefgh") + dice.choice("xy") for _ in range(2 * n))
+        firsts, lasts = names[::2], names[1::2]
+        asked = spark.createDataFrame([(x + y,) for x in "`abcdefghi" for y in "wxyz"], "anonymous_uu_id string")
+        for r in asked.collect():
+            one = asked.where(F.col("anonymous_uu_id") == r[0]) if n in (3, 7) else None
+            if one is not None and r[0] in ("ax", "cy", "hz", "`w", "dx"):
+                assert needed_files(one, firsts, lasts) == [k for k in range(n) if firsts[k] <= r[0] <= lasts[k]]
+        want = [k for k in range(n) if any(firsts[k] <= r[0] <= lasts[k] for r in asked.collect())]
+        assert needed_files(asked, firsts, lasts) == want
+    assert needed_files(asked, [], []) == []
+
+
+def test_published_nothing(spark, tmp_path, many):
+    path = publish(many[0].limit(0), str(tmp_path))
+    asked = spark.createDataFrame([("hot",)], "anonymous_uu_id string")
+    assert read_published(spark, path, asked).count() == read_published(spark, path).count() == 0
+
+
+def test_a_stream_is_answered_from_few_files_and_once(spark, tmp_path, many):
+    forecasts, path = many
+    inbox, outbox, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for k, names in enumerate((["m6926", "nobody"], ["m6926", "hot"], ["m4838"])):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.json").write_text("".join(json.dumps({"anonymous_uu_id": n}) + "\n" for n in names))
+
+    def serve(where=state):
+        answer_requests(read_requests(spark, inbox, 1), path, lookup_forecasts, outbox, where).awaitTermination()
+        return sorted((r.anonymous_uu_id, r.found, r.batch) for r in spark.read.json(outbox).collect())
+
+    got = serve()
+    assert [g[:2] for g in got] == [("hot", True), ("m4838", True), ("m6926", True), ("m6926", True), ("nobody", False)]
+    assert {g[2] for g in got} == {0, 1, 2}
+    assert serve() == got  # nothing new
+    # All batches once more, as after the loss of the stream's state: the same folder.
+    assert serve(str(tmp_path / "state-2")) == got
+
+
+def test_a_small_batch_reads_few_files(spark, tmp_path, many):
+    _, path = many
+    read = []
+
+    def look_up(requests, table):
+        read.append(table.inputFiles())
+        return lookup_forecasts(requests, table)
+
+    asked = spark.createDataFrame([("m1",)], "anonymous_uu_id string")
+    for _ in range(2):
+        answer_batch(asked, 7, path, look_up, str(tmp_path))
+        assert [f.name for f in tmp_path.iterdir()] == ["batch=7"]
+        assert spark.read.json(str(tmp_path)).count() == 1
+    assert len(read[0]) <= 2
+
+
 def test_only_the_merchants_asked_for_are_summed_up(spark, cleaned):
     asked = spark.createDataFrame([("merchant_A",), ("nobody",), (None,)], "anonymous_uu_id string")
     pruned = offers_from_transactions(cleaned, requests=asked, jitter=0.0)
