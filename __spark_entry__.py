@@ -12,7 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.functions.lineage import scratch, shared_folder
+from tillcast.operators.calendar import suspect_months
 from tillcast.operators.cleaning import clean_transactions, rejected_transactions
+from tillcast.operators.dictionary import (
+    encode_with_dictionary,
+    fit_dictionary,
+    index_categories,
+)
 from tillcast.operators.eligibility import asof_features, judge_eligibility, windowed_eligibility
 from tillcast.operators.encoding import encode_categories
 from tillcast.operators.evaluation import (
@@ -56,6 +62,7 @@ from tillcast.schema import (
 )
 from tillcast.sources import panels
 from tillcast.sources.tables import publish, read_published
+from tillcast.sources.transactions import read_raw_transactions
 from tillcast.streaming.requests import answer_requests, read_requests
 
 try:  # both can be taken out of the repository together, and need modules that the rest does without
@@ -130,6 +137,38 @@ def rejected_by_calendar(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stray_months(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders, a few of them dated 0001-01, 9999-12 or three years after the last."""
+    raw = panels.customer_raw_text(spark, folder)
+    key = F.col("order_key")
+    last = panels.customer_bounds(spark, folder).select("last_month").scalar()
+    month = (
+        F.when(key % 2503 == 0, "000101")
+        .when(key % 2521 == 0, "999912")
+        .when(key % 14983 == 0, F.date_format(F.add_months(last, 6), "yyyyMM"))
+        .otherwise(F.col("transaction_month"))
+    )
+    return suspect_months(clean_transactions(raw.withColumn("transaction_month", month)))
+
+
+def malformed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders as text files, some of whose lines are no proper rows, read and reported."""
+    place = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    key = F.col("o_orderkey")
+    month, price = F.date_format("o_orderdate", "yyyyMM"), F.col("o_totalprice").cast("decimal(18,2)")
+    line = (
+        F.when(key % 97 == 0, F.concat_ws(",", "o_custkey", F.lit("USD"), F.lit("US")))
+        .when(key % 101 == 0, F.concat_ws(",", "o_custkey", F.lit("USD"), F.lit("US"), month, price, F.lit("1,1")))
+        .when(key % 103 == 0, F.concat_ws(",", "o_custkey", F.lit('"U"SD'), F.lit("US"), month, price, F.lit("1")))
+        .otherwise(F.concat_ws(",", "o_custkey", F.lit('"USD"'), F.lit("US"), month, price, F.lit("1")))
+    )
+    header = "anonymous_uu_id,currency_code,country_code,transaction_month,sales_amount,transaction_count"
+    lines = panels.read_table(spark, folder, "orders").select(line.alias(header))
+    lines.write.csv(place, header=True, quote="", escape="", sep="\x01")
+    raw = read_raw_transactions(spark, place, report=True)
+    return rejected_transactions(clean_transactions(raw)).select("malformed_line", "reject_reason")
+
+
 def refunded_streaks(spark: SparkSession, folder: str) -> DataFrame:
     """Every third order is paid back in its month: what remains may be nothing at all."""
     sales = panels.customer_sales(spark, folder, "o_orderkey")
@@ -157,6 +196,37 @@ def category_index(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def category_index_by_table(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``category_index``, by a table of labels."""
+    codes = panels.customer_codes(spark, folder)
+    labels = fit_dictionary(codes, f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}")
+    return index_categories(codes, labels).select(
+        MERCHANT, *[F.col(f"{c}_indexed").cast("bigint").alias(f"{c}_slot") for c in CODES]
+    )
+
+
+def order_category_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Customer and day of every order, categories with very many labels, as one-hot vectors."""
+    orders = panels.read_table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("request"),
+        F.when(F.col("o_orderkey") % 31 != 0, F.col("o_custkey")).alias("customer"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("day"),
+    )
+    place = shared_folder(spark)
+    labels = fit_dictionary(orders, f"{place}/labels-{uuid.uuid4().hex}", ("customer", "day"))
+    encoded = encode_with_dictionary(orders, labels, place)
+    vectors = F.array(
+        *[F.struct(F.lit(c).alias("code"), F.unwrap_udt(f"{c}_encoded").alias("v")) for c in ("customer", "day")]
+    )
+    return encoded.select("request", F.inline(vectors)).select(
+        "request",
+        "code",
+        F.col("v.size").cast("bigint").alias("width"),
+        F.try_element_at("v.indices", F.lit(1)).cast("bigint").alias("slot"),
+        F.coalesce(F.try_element_at("v.values", F.lit(1)), F.lit(0.0)).alias("value"),
+    )
+
+
 def category_onehot(spark: SparkSession, folder: str) -> DataFrame:
     encoded, _ = encode_categories(panels.customer_codes(spark, folder))
     vectors = [
@@ -510,12 +580,16 @@ def queries() -> dict[str, Query]:
         "clean_transactions": cleaned,
         "rejected_transactions": rejected,
         "rejected_by_calendar": rejected_by_calendar,
+        "suspect_months": stray_months,
+        "malformed_lines": malformed_lines,
         "refunded_streaks": refunded_streaks,
         "continuous_series": filled_series,
         "continuous_series_dirty": filled_series_dirty,
         "continuous_series_many_codes": filled_series_many_codes,
         "category_index": category_index,
         "category_onehot": category_onehot,
+        "category_index_by_table": category_index_by_table,
+        "order_category_vectors": order_category_vectors,
         "positive_streaks": streaks,
         "eligibility_windowed": windowed(supplier_sales_series),
         "eligibility_windowed_sparse": windowed(customer_sales_series),
@@ -1001,6 +1075,62 @@ WHERE transaction_month >= cut + to_months(CAST(lost AS INTEGER)) GROUP BY featu
             f"""
 SELECT f.* FROM ({_features_sql(last=0)}) f CROSS JOIN cutoff WHERE transaction_month >= cut""",
         ),
+        "suspect_months": _with(
+            {
+                "spoilt": """
+SELECT CAST(o_custkey AS VARCHAR) AS customer,
+       CAST(CASE WHEN o_orderkey % 2503 = 0 THEN DATE '0001-01-01'
+                 WHEN o_orderkey % 2521 = 0 THEN DATE '9999-12-01'
+                 WHEN o_orderkey % 14983 = 0
+                   THEN date_trunc('month', (SELECT max(o_orderdate) FROM orders)) + INTERVAL 6 MONTH
+                 WHEN o_orderkey % 23 <> 0 THEN date_trunc('month', o_orderdate) END AS DATE)
+         AS transaction_month
+FROM orders WHERE o_orderkey % 29 <> 0""",
+                "support": """
+SELECT transaction_month, count(*) AS row_count, count(DISTINCT customer) AS merchants,
+       year(transaction_month) * 12 + month(transaction_month) AS number
+FROM spoilt WHERE transaction_month IS NOT NULL GROUP BY transaction_month""",
+                "spaced": """
+SELECT *, number - lag(number) OVER (ORDER BY number) - 1 AS empty_before FROM support""",
+                "runs": """
+SELECT *, count(*) FILTER (empty_before > 12) OVER (ORDER BY number) AS run FROM spaced""",
+                "main": """
+SELECT run AS main_run, median(row_count) AS typical FROM runs GROUP BY run
+ORDER BY sum(row_count) DESC, run LIMIT 1""",
+            },
+            """
+SELECT transaction_month, row_count, merchants, CAST(empty_before AS INT) AS empty_before,
+       CASE WHEN run <> main_run THEN 'beyond a gap' ELSE 'thin end' END AS reason
+FROM (
+  SELECT *, max(row_count) OVER (PARTITION BY run ORDER BY number) AS up_to,
+         max(row_count) OVER (PARTITION BY run ORDER BY number DESC) AS from_on
+  FROM runs) CROSS JOIN main
+WHERE run <> main_run OR least(up_to, from_on) < typical * 0.01""",
+        ),
+        "malformed_lines": """
+SELECT malformed_line, 'malformed line' AS reject_reason FROM (
+  SELECT CASE WHEN o_orderkey % 97 = 0 THEN o_custkey || ',USD,US'
+              WHEN o_orderkey % 101 = 0 THEN o_custkey || ',USD,US,' || month || ',' || price || ',1,1'
+              WHEN o_orderkey % 103 = 0 THEN o_custkey || ',"U"SD,US,' || month || ',' || price || ',1'
+         END AS malformed_line
+  FROM (SELECT *, strftime(o_orderdate, '%Y%m') AS month, CAST(o_totalprice AS DECIMAL(18, 2)) AS price
+        FROM orders))
+WHERE malformed_line IS NOT NULL""",
+        "order_category_vectors": """
+WITH codes AS (
+  SELECT o_orderkey AS request, 'customer' AS code,
+         CASE WHEN o_orderkey % 31 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS label FROM orders
+  UNION ALL
+  SELECT o_orderkey, 'day', strftime(o_orderdate, '%Y%m%d') FROM orders
+), slots AS (
+  SELECT code, label, row_number() OVER (PARTITION BY code ORDER BY count(*) DESC, label) - 1 AS slot,
+         count(*) OVER (PARTITION BY code) AS width
+  FROM codes WHERE label IS NOT NULL GROUP BY code, label
+), widths AS (
+  SELECT code, any_value(width) AS width FROM slots GROUP BY code
+)
+SELECT request, code, widths.width, slot, CASE WHEN slot IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS value
+FROM codes JOIN widths USING (code) LEFT JOIN slots USING (code, label)""",
         "rejected_by_calendar": _with(
             DIRTY,
             """
@@ -1054,4 +1184,5 @@ WHERE transaction_month >= cut""",
     # The same results by another way.
     found["published_forecast_lookup"] = found["forecast_lookup"]
     found["streamed_offer_lookup"] = found["offer_lookup"]
+    found["category_index_by_table"] = found["category_index"]
     return found | (llm.oracle_sql() if llm else {})

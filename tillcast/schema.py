@@ -9,6 +9,8 @@ RAW_MONTH = "transaction_month"  # `yyyyMM`, as it comes in the file
 MONTH_DT = "transaction_month_dt"  # the same month as a date, after cleaning
 RAW_SALES = "sales_amount"
 RAW_COUNT = "transaction_count"
+MALFORMED = "malformed_line"  # the text of a line that is no proper row, if reported
+SOURCE_FILE = "source_file"
 
 MONTH = "transaction_month"  # first day of the month, in a continuous series
 SALES = "sales_amount_actual"
