@@ -12,13 +12,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tillcast.llm import bpe, caps, html_text, lines, maxent, minhash, packing, quality, sharding, warc
+from tillcast.llm import bpe, caps, graph, html_text, lines, maxent, minhash, packing, quality, sharding, warc
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -160,6 +161,109 @@ def test_minhash_chain_in_a_bucket(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == want
 
 
+def family(n: int, seed: int = 6):
+    """Copies of one text with two or three words changed: similarities from 0.7 to 0.8, and who links."""
+    dice, words = random.Random(seed), prose(11, 200).split()
+    rows, kept = [], np.ones((n, 196), dtype=np.float32)
+    for i in range(n):
+        own = list(words)
+        for place in dice.sample(range(4, 196), dice.choice((2, 3, 3))):
+            own[place] = f"new{i}x{place}"
+            kept[i, place - 4 : place + 1] = 0
+        rows.append((i, " ".join(own)))
+    assert len(set(zip(*(words[k:] for k in range(5))))) == 196
+    shared = kept @ kept.T
+    linked = 100 * shared >= 75 * (2 * 196 - shared)
+    label = list(range(n))
+    while True:  # the smallest neighbour's label, until nothing changes
+        new = np.where(linked, np.array(label)[None, :], n).min(axis=1)
+        if (new == label).all():
+            return rows, label
+        label = new.tolist()
+
+
+def test_minhash_of_a_family_at_the_threshold(spark, tmp_path, monkeypatch):
+    """Pairs handed on grow with the documents, not with their square, and no link is lost."""
+    handed = {}
+    for n in (500, 2000):
+        monkeypatch.setattr(minhash, "workspace", lambda *_: f"{tmp_path}/{n}")
+        rows, label = family(n)
+        found = minhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8))
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(map(int, label)))
+        handed[n] = sum(
+            spark.read.parquet(f"{tmp_path}/{n}/{t}").count() for t in ("tried-0", "across") if (tmp_path / f"{n}/{t}").exists()
+        )
+    assert handed[500] < 32 * 500 and handed[2000] < 6 * handed[500]
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    sides = [[np.unique(rng.integers(0, 9000, rng.integers(0, 6000), dtype=np.uint64)) for _ in range(n)] for n in (7, 5)]
+    want = [[len(np.intersect1d(x, y)) for y in sides[1]] for x in sides[0]]
+    assert minhash.shared_counts(sides).tolist() == want
+    nothing = [np.zeros(0, np.uint64)]
+    assert minhash.shared_counts([nothing, sides[1]]).tolist() == [[0] * 5]
+
+
+def test_links_across_blocks_are_a_forest_in_the_first_bucket(spark):
+    """Against all pairs of hand-made sets, over one and over several blocks."""
+    rng, rows = np.random.default_rng(4), []
+    sets = []
+    for i in range(120):
+        keys = np.arange(100, dtype=np.uint64)
+        keys[rng.choice(100, 7, replace=False)] = rng.integers(1000, 1 << 40, 7, dtype=np.uint64)
+        sets.append(np.unique(keys))
+        rows.append((i, [7, 3 if i % 2 else 4], sets[-1].tobytes()))
+    batch = lambda rs: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rs], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names=list("abcdefgh"))
+    want = {(j, i) for i in range(120) for j in range(i + 1, 120) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert 20 < len(want)
+    for blocks in (1, 3):
+        found = {True: set(), False: set()}
+        for forest in (True, False):
+            for bucket in (3, 4, 7):
+                inside = [r for r in rows if bucket in r[1]]
+                for one in range(blocks):
+                    for other in range(one, blocks):
+                        meeting = [(bucket, one, other, 0, i, i, b, k) for i, b, k in inside if i % blocks == one]
+                        meeting += [(bucket, one, other, 1, i, i, b, k) for i, b, k in inside if i % blocks == other] if one != other else []
+                        for out in minhash._links_across(forest)(iter([batch(meeting)])):
+                            pairs = list(zip(*(c.to_pylist() for c in out.columns)))
+                            assert not found[forest] & set(pairs)  # each in one bucket only
+                            found[forest] |= set(pairs)
+        assert found[False] == want and found[True] <= want
+        root = {True: list(range(120)), False: list(range(120))}
+        for forest, label in root.items():
+            for _ in range(120):
+                for a, b in found[forest]:
+                    label[a] = label[b] = min(label[a], label[b])
+        assert root[True] == root[False]
+
+
+def test_components_of_a_hub(spark, tmp_path):
+    """A star of 100,000 leaves and a chain; the hub's join is divided over tasks."""
+    links = spark.range(1, 100_001).selectExpr("id AS a", "0L AS b").unionByName(
+        spark.range(200_000, 200_050).selectExpr("id + 1 AS a", "id AS b")
+    )
+    found = graph.components(links, f"{tmp_path}/graph")
+    counts = {r["component"]: r["count"] for r in found.groupBy("component").count().collect()}
+    assert counts == {0: 100_001, 200_000: 51}
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    }
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        step = graph._to_smaller(graph._to_larger(links))
+        step.collect()
+        assert "skew=true" in step._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_caps(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((60, 64))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         f"{folder}/edges-0",
     )
     state = _state(edges)
-    for step in range(1, 200):
+    for step in itertools.count(1):
         edges = written(_to_smaller(_to_larger(edges)), f"{folder}/edges-{step}")
         before, state = state, _state(edges)
         if state == before:
@@ -42,7 +44,8 @@ def _to_larger(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
     return (
-        both.join(least, "a")
+        _with_hash(both)
+        .join(_with_hash(least), ["a", "hash"])
         .where("b > a AND b <> least")
         .select(F.col("b").alias("a"), F.col("least").alias("b"))
         .distinct()
@@ -52,6 +55,13 @@ def _to_larger(edges: DataFrame) -> DataFrame:
 def _to_smaller(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("least"))
     moved = (
-        edges.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        _with_hash(edges)
+        .join(_with_hash(least), ["a", "hash"])
+        .where("b <> least")
+        .select(F.col("b").alias("a"), F.col("least").alias("b"))
     )
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
+
+
+def _with_hash(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("hash", F.xxhash64("a"))

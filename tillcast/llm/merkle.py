@@ -263,9 +263,12 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     # The trees' roots, numbered in order of the languages, are the leaves of one more tree.
     subroots = levels[-1].select("tree", "digest").withColumns({"name": F.lit(""), "one": F.lit(1)})
     numbered = totals_before(subroots, "name", ["tree"], "one", f"{folder}/subroot-ranges")
-    count = subroots.groupBy("name").agg(F.sum("one").alias("nodes"))
-    forest = numbered.join(count, "name").select(
-        F.col("name").alias("tree"), F.col("before").alias("place"), "digest", "nodes", F.col("tree").alias("language")
+    forest = numbered.select(
+        F.col("name").alias("tree"),
+        F.col("before").alias("place"),
+        "digest",
+        subroots.agg(F.count(F.lit(1))).scalar().alias("nodes"),
+        F.col("tree").alias("language"),
     )
     forest = written(forest, f"{folder}/forest")
     upper = reduced(forest, f"{folder}/upper")

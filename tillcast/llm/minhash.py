@@ -11,12 +11,14 @@ How the work stays in proportion to the input:
 * Documents with equal sets are one class, found by a grouped minimum.
 * In a bucket (documents with an equal band) every document is compared with two leaders, not
   with all others. What is confirmed is joined into components.
-* Only where a bucket still holds several components are its documents compared across them, by
-  bit counts in blocks of bounded size: first the best pairs that could join the components of
-  a block, then, if some are still apart, all pairs that may reach the threshold by an estimate
-  from 1,664 minima.
-  So no link between components is left out, and a bucket of near copies brings forth about as
-  many pairs as it has documents.
+* Only where a bucket still holds several components are its documents compared across them, in blocks of
+  bounded size, and each pair in the first bucket that both share. Bit counts, sharpened by 1,536 further
+  minima, name the documents of a block that may link across. These meet again with the hashes of
+  all their shingles, and the block counts the exact intersections. It hands on a forest of what links: pairs that
+  connect all that the block's links connect. So no link between components is left out, pairs
+  below the threshold never leave their block, and a block hands on fewer pairs than it has documents.
+* The forest is confirmed on the texts. Should a pair fail there, which takes two shingles with equal 64-bit
+  hashes, all linking pairs of all blocks are confirmed instead of the forest.
 
 A band misses a pair of similarity 0.75 so often that all 32 do in 5 of a million cases; the estimates
 (five standard deviations below 0.75 for 128 minima, 4.2 for 1,664) drop one of 70,000. Both are for pairs
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.llm.caps import _forest
 from tillcast.llm.common import (
     LOWER,
     byte_view,
@@ -65,6 +68,10 @@ WIDE = 1536
 MIN_EQUAL_WIDE = least_equal(MINIMA + WIDE, 4.2)
 #: Documents of a bucket that are compared with each other at once.
 BLOCK = 512
+#: Shingles of the documents of a block, on average.
+BLOCK_SHINGLES = 1_000_000
+#: Shingles that a block's sets are compared by at once.
+COLUMNS = 4096
 #: Shingles verified against one leader in one task.
 LEADER_SHINGLES = 1_000_000
 
@@ -156,9 +163,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n_shingles, sig, utf8) with the further minima packed as ``wide``."""
+    """Rows (doc_id, n_shingles, sig, bands, utf8) with the further minima packed as ``wide``."""
     for batch in batches:
-        data, offsets = byte_view(batch.column(3))
+        data, offsets = byte_view(batch.column(4))
         for first, last, part in chunks(data, offsets):
             sets = shingle_hashes(part, offsets[first : last + 1] - offsets[first])
             wide = packed(np.stack([minima(keys, WIDE_PART) for keys in sets]))
@@ -249,27 +256,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 # --- buckets with several components -----------------------------------------------
 
 
-def _across(forest: bool):
-    """Pairs of different components in a block that may be similar enough.
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[list[tuple]]]]:
+    """Bucket, whether a block meets itself, and the rows of both sides.
 
-    All of them, or only a forest: the best pairs that, if all are confirmed, join whatever
-    any pairs of the block can join.
+    Rows (bucket, one, other, side, ...) come in order, those of a meeting of two blocks after each other.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (bucket, one, other, side, doc, component, sig, wide), a block's after each other."""
-        block, rows = None, []
-        for batch in batches:
-            for bucket, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, i, j) != block:
-                    if block is not None:
-                        yield from _block_pairs(rows, block[1] == block[2], forest)
-                    block, rows = (bucket, i, j), []
-                rows.append(row)
-        if block is not None:
-            yield from _block_pairs(rows, block[1] == block[2], forest)
-
-    return run
+    meeting, sides = None, [[], []]
+    for batch in batches:
+        for bucket, one, other, side, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (bucket, one, other) != meeting:
+                if meeting is not None:
+                    yield meeting[0], meeting[1] == meeting[2], sides
+                meeting, sides = (bucket, one, other), [[], []]
+            sides[side].append(row)
+    if meeting is not None:
+        yield meeting[0], meeting[1] == meeting[2], sides
 
 
 def _unequal(x: np.ndarray) -> np.ndarray:
@@ -280,49 +281,133 @@ def _unequal(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
 
 
-def _block_pairs(rows: list, own: bool, forest: bool) -> Iterator[pa.RecordBatch]:
-    left = [r for r in rows if r[0] == 0]
-    right = left if own else [r for r in rows if r[0] == 1]
-    if not left or not right:
-        return
-    sigs, wides, ids, parts = (
-        [np.array([r[k] for r in side], dtype=np.int64) for side in (left, right)] for k in (3, 4, 1, 2)
-    )
-    found: list[tuple] = []
-    for i in range(0, len(left), 64):
-        unequal = _unequal(sigs[0][i : i + 64, None, :] ^ sigs[1][None, :, :])
-        close = (MINIMA - unequal >= MIN_EQUAL) & (parts[0][i : i + 64, None] != parts[1][None, :])
+def _columns(sides: list[list[tuple]], k: int) -> list[np.ndarray]:
+    return [np.array([row[k] for row in side], dtype=np.int64) for side in sides]
+
+
+def _first_met(p: np.ndarray, q: np.ndarray, bands: list[np.ndarray], bucket: int) -> np.ndarray:
+    """Which of the pairs of rows share no bucket before this one."""
+    out = np.empty(len(p), dtype=bool)
+    for k in range(0, len(p), 1 << 16):
+        one, other = bands[0][p[k : k + (1 << 16)]], bands[1][q[k : k + (1 << 16)]]
+        out[k : k + (1 << 16)] = ~((one == other) & (one < bucket)).any(axis=1)
+    return out
+
+
+def _may_link_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (..., doc_id, component, sig, wide, bands) those that may link with another component here."""
+    for bucket, own, sides in _blocks(batches):
+        if not sides[0] or not (own or sides[1]):
+            continue
+        both = [sides[0], sides[0]] if own else sides
+        parts, sigs, wides, bands = (_columns(both, k) for k in (1, 2, 3, 4))
+        hit = [np.zeros(len(side), dtype=bool) for side in both]
+        for i in range(0, len(both[0]), 64):
+            unequal = _unequal(sigs[0][i : i + 64, None, :] ^ sigs[1][None, :, :])
+            p, q = np.nonzero(
+                (MINIMA - unequal >= MIN_EQUAL) & (parts[0][i : i + 64, None] != parts[1][None, :])
+            )
+            total = unequal[p, q] + _unequal(wides[0][i + p] ^ wides[1][q])
+            close = MINIMA + WIDE - total >= MIN_EQUAL_WIDE
+            p, q = i + p[close], q[close]
+            new = _first_met(p, q, bands, bucket)
+            hit[0][p[new]] = hit[1][q[new]] = True
         if own:
-            close &= ids[0][i : i + 64, None] < ids[1][None, :]
-        p, q = np.nonzero(close)
-        total = unequal[p, q] + _unequal(wides[0][i + p] ^ wides[1][q])
-        close = MINIMA + WIDE - total >= MIN_EQUAL_WIDE
-        found.append((i + p[close], q[close], total[close]))
-    p, q, unequal = (np.concatenate(x) for x in zip(*found))
-    if forest and len(p) > 1:
-        root: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while x in root:
-                x = root[x]
-            return x
-
-        kept = []
-        for k in np.argsort(unequal, kind="stable").tolist():
-            one, other = top(int(parts[0][p[k]])), top(int(parts[1][q[k]]))
-            if one != other:
-                root[max(one, other)] = min(one, other)
-                kept.append(k)
-        p, q = p[kept], q[kept]
-    if len(p):
-        a, b = ids[0][p], ids[1][q]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["doc", "lead"]
-        )
+            hit = [hit[0] | hit[1]]
+        rows = [(side, both[side][r]) for side in range(len(hit)) for r in np.flatnonzero(hit[side])]
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([bucket] * len(rows), pa.int64()),
+                    pa.array([side for side, _ in rows], pa.int32()),
+                    pa.array([r[0] for _, r in rows], pa.int64()),
+                    pa.array([r[1] for _, r in rows], pa.int64()),
+                    pa.array([r[5] for _, r in rows], pa.int32()),
+                    pa.array([r[6] for _, r in rows], pa.int32()),
+                ],
+                names=["bucket", "side", "doc_id", "component", "one", "other"],
+            )
+
+
+def shared_counts(sides: list[list[np.ndarray]]) -> np.ndarray:
+    """Sizes of the intersections of each set of one side with each of the other, some columns at a time."""
+    flat = [np.concatenate(sets) for sets in sides]
+    rows = [np.repeat(np.arange(len(sets)), [len(x) for x in sets]) for sets in sides]
+    common = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    counts = np.zeros((len(sides[0]), len(sides[1])), dtype=np.int64)
+    # Places of all hashes among the common ones, in order of these.
+    found = []
+    for keys, row in zip(flat, rows):
+        place = np.minimum(np.searchsorted(common, keys), max(len(common) - 1, 0))
+        hit = common[place] == keys if len(common) else np.zeros(len(keys), bool)
+        place, row = place[hit], row[hit]
+        order = np.argsort(place, kind="stable")
+        found.append((place[order], row[order]))
+    for k in range(0, len(common), COLUMNS):
+        marks = []
+        for (place, row), sets in zip(found, sides):
+            i, j = np.searchsorted(place, (k, k + COLUMNS))
+            mark = np.zeros((len(sets), min(COLUMNS, len(common) - k)), dtype=np.float32)
+            mark[row[i:j], place[i:j] - k] = 1
+            marks.append(mark)
+        counts += (marks[0] @ marks[1].T).astype(np.int64)
+    return counts
+
+
+def _links_across(forest: bool):
+    """Pairs of different components in a block that link by the hashes of all their shingles.
+
+    All of them, or a forest that connects the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (bucket, one, other, side, doc_id, component, bands, keys)."""
+        for bucket, own, sides in _blocks(batches):
+            if not sides[0] or not (own or sides[1]):
+                continue
+            both = [sides[0], sides[0]] if own else sides
+            ids, parts, bands = (_columns(both, k) for k in (0, 1, 2))
+            sets = [[np.frombuffer(row[3], dtype=np.uint64) for row in side] for side in both]
+            sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in sets]
+            shared = shared_counts(sets)
+            union = sizes[0][:, None] + sizes[1][None, :] - shared
+            linked = (100 * shared >= PERCENT * union) & (parts[0][:, None] != parts[1][None, :])
+            if own:
+                linked &= ids[0][:, None] < ids[1][None, :]
+            p, q = np.nonzero(linked)
+            met = _first_met(p, q, bands, bucket)
+            linked[p[~met], q[~met]] = False
+            pairs = np.array(_forest(linked) if forest else np.argwhere(linked), dtype=np.int64)
+            if len(pairs):
+                a, b = ids[0][pairs[:, 0]], ids[1][pairs[:, 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["doc", "lead"]
+                )
+
+    return run
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, bands, utf8) with the hashes of all shingles instead of the text."""
+    for batch in batches:
+        data, offsets = byte_view(batch.column(2))
+        for first, last, part in chunks(data, offsets):
+            sets = shingle_hashes(part, offsets[first : last + 1] - offsets[first])
+            some = batch.slice(first, last - first)
+            keys = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), keys], names=["doc_id", "bands", "keys"])
+
 
+MEETING = ["bucket", "one", "other"]
 
-def pairs_across(members: DataFrame, texts: DataFrame, parts: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (doc, lead) of one bucket but different components that may be similar enough."""
+
+def _met(seats: DataFrame, *columns: str) -> DataFrame:
+    rows = seats.select(*MEETING, "side", *columns)
+    return rows.repartition(*MEETING).sortWithinPartitions(*MEETING)
+
+
+def seats_across(members: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """Documents that may link with another component of their bucket, a row for each meeting of blocks."""
     labelled = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
     )
@@ -331,32 +416,47 @@ def pairs_across(members: DataFrame, texts: DataFrame, parts: DataFrame, forest:
         .agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
-            F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
+            F.greatest(
+                F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)
+            ).cast("int").alias("blocks"),
         )
         .where("low <> high")
         .select("bucket", "blocks")
     )
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     seats = (
-        labelled.join(mixed_up, "bucket")
-        .join(texts.select("doc_id", "sig", "wide"), "doc_id")
+        labelled.select("doc_id", "bucket", "component")
+        .join(mixed_up, "bucket")
+        .join(texts.select("doc_id", "sig", "wide", "bands"), "doc_id")
         .withColumn("own", own)
         .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+        .withColumns(
+            {
+                "one": F.least("own", "met"),
+                "other": F.greatest("own", "met"),
+                "side": F.when(F.col("own") <= F.col("met"), 0).otherwise(1),
+            }
+        )
+    )
+    # The blocks' numbers once more behind, for the rows that go on.
+    seats = seats.withColumns({"first_block": F.col("one"), "second_block": F.col("other")})
+    return _met(
+        seats, "doc_id", "component", "sig", "wide", "bands", "first_block", "second_block"
+    ).mapInArrow(
+        _may_link_across, "bucket bigint, side int, doc_id bigint, component bigint, one int, other int"
+    )
+
+
+def pairs_across(seats: DataFrame, texts: DataFrame, forest: bool = True) -> DataFrame:
+    """Pairs (doc, lead) of different components that link: all, or a forest of each block's."""
+    sets = (
+        texts.join(seats.select("doc_id").distinct(), "doc_id", "left_semi")
+        .select("doc_id", "bands", "utf8")
+        .mapInArrow(_keys, "doc_id bigint, bands array<bigint>, keys binary")
     )
     return (
-        seats.select(
-            "bucket",
-            F.least("own", "met").alias("one"),
-            F.greatest("own", "met").alias("other"),
-            F.when(F.col("own") <= F.col("met"), 0).otherwise(1).alias("side"),
-            "doc_id",
-            "component",
-            "sig",
-            "wide",
-        )
-        .repartition("bucket", "one", "other")
-        .sortWithinPartitions("bucket", "one", "other")
-        .mapInArrow(_across(forest), "doc bigint, lead bigint")
+        _met(seats.join(sets, "doc_id"), "doc_id", "component", "bands", "keys")
+        .mapInArrow(_links_across(forest), "doc bigint, lead bigint")
         .distinct()
     )
 
@@ -377,11 +477,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     signed = written(signed, f"{folder}/signed")
 
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = usable.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("rep"))
+    classes = usable.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    # Read from files, both sides are exchanged for the join, and a set that most documents have is split.
+    several = written(classes.where("n > 1").drop("n"), f"{folder}/classes")
     placed = written(
-        usable.select("doc_id", "n_shingles", "set_1", "set_2").join(classes, ["set_1", "set_2"]).select(
-            "doc_id", "n_shingles", "rep"
-        ),
+        usable.select("doc_id", "n_shingles", "set_1", "set_2")
+        .join(several, ["set_1", "set_2"], "left")
+        .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")),
         f"{folder}/placed",
     )
     reps = written(
@@ -391,7 +493,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         f"{folder}/reps",
     )
 
-    buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    buckets = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     leaders = (
         buckets.groupBy("bucket")
         .agg(
@@ -406,11 +508,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = written(
         own.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
-        .join(reps.select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]), "doc_id")
-        .select("doc_id", "n_shingles", "sig", "utf8")
+        .join(reps.dropDuplicates(["doc_id"]), "doc_id")
+        .select("doc_id", "n_shingles", "sig", "bands", "utf8")
         .mapInArrow(
             _widen,
-            "doc_id bigint, n_shingles bigint, sig array<bigint>, utf8 binary, wide array<bigint>",
+            "doc_id bigint, n_shingles bigint, sig array<bigint>, bands array<bigint>, utf8 binary,"
+            " wide array<bigint>",
         ),
         f"{folder}/texts",
     )
@@ -422,13 +525,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     tried = written(may_link(star, reps), f"{folder}/tried-0")
     links = written(confirmed(tried, texts), f"{folder}/links-0")
     parts = components(links, f"{folder}/parts-0")
-    for k, forest in ((1, True), (2, False)):
-        rest = pairs_across(members.select("doc_id", "bucket"), texts, parts, forest)
-        rest = written(rest.join(tried, ["doc", "lead"], "left_anti"), f"{folder}/tried-{k}")
-        more = written(confirmed(rest, texts), f"{folder}/links-{k}")
-        tried, links = tried.unionByName(rest), links.unionByName(more)
-        if not more.isEmpty():  # else the components are what they were
-            parts = components(links, f"{folder}/parts-{k}")
+    seats = written(
+        seats_across(members.select("doc_id", "n_shingles", "bucket"), texts, parts), f"{folder}/seats"
+    )
+    if not seats.isEmpty():
+        across = written(pairs_across(seats, texts), f"{folder}/across")
+        more = written(confirmed(across, texts), f"{folder}/links-1")
+        if more.count() < across.count():  # two shingles had one hash
+            every = written(pairs_across(seats, texts, forest=False), f"{folder}/every")
+            more = written(confirmed(every, texts), f"{folder}/links-2")
+        parts = components(links.unionByName(more), f"{folder}/parts-1")
 
     labels = placed.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
