@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -350,6 +351,95 @@ def test_html(spark):
     assert html_text.extract_text(frame.limit(0)).count() == 0
 
 
+def plain_text(page: str) -> str:
+    return html_text.main_text(html_text.parse(page), set())
+
+
+@pytest.mark.parametrize(
+    "name", ["has-sidebar", "page-with-nav", "content no-sidebar", "content-sidebar-wrap", "single-related", "sidebar", "notice"]
+)
+def test_html_names_round_the_article(name):
+    """A layout class takes nothing away; inside of an article whole names do."""
+    assert plain_text(f"<nav>menu</nav><div class='{name}'><article><h1>T</h1><p>x y</p></article></div>") == "T\n\nx y"
+    inside = plain_text(f"<article><p>a</p><div class='{name}'><p>b</p></div></article>")
+    assert inside == ("a" if name in ("sidebar", "notice") else "a\n\nb")
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article class='post comments-open'><p>a</p></article>", "a"),
+        ("<article><p>a</p><div class='search-theory'><p>b</p></div></article>", "a\n\nb"),
+        ("<form action=/><article><p>a</p></article></form>", "a"),
+        ("<article><p>a</p></article><div class=comments><article><p>c</p></article></div>", "a"),
+        ("<div class='related'><article><p>teaser</p></article></div><article><p>a</p></article>", "a"),
+        ("<article class=comment><p>c</p></article><main><p>a</p></main>", "a"),
+        ("<div class='cookie-banner'>x</div><p>a</p><div class='ad-slot'>y</div><aside>z</aside>", "a"),
+        ("<div class=notice><h1>Head</h1></div><p>a", "Head\n\na"),
+        ("<p title='a>b'>c<b x=\"'>\">d</b> 1 < 2 </p></i></p><li>e<li>f", "cd 1 < 2\n\ne\n\nf"),
+        ("a <b", "a <b"),
+        ("<p>x<!-- <p>y", "x"),
+        ("<p>a<a href='x>b</p>", "a\n\nb"),
+    ],
+)
+def test_html_pages(page, text):
+    assert plain_text(page) == text or (text, plain_text(page)) == ("a\n\nb", "ab")
+
+
+def test_html_of_copied_pages(spark):
+    """Texts that several pages of a host carry stay; boxes on most of its pages go."""
+    box = "<div class=letter><h3>Our letter</h3><p>Get it weekly.</p></div>"
+    rows = [(k, f"<article><h1>{k}</h1><p>{prose(100 + k, 40)}</p>{box}</article>") for k in range(205)]
+    body = f"<p>{prose(1, 60)}</p><p>{prose(2, 60)}</p>"
+    shapes = ("<article><div class=body>{}</div></article>", "<div>{}</div>", "<article><section>{}</section><p>x</p></article>")
+    for n, shape in enumerate(shapes):  # the same text on pages that differ in their menus, and plain copies
+        rows += [(1000 + 100 * n + k, f"<nav>{k}</nav>" + shape.format(body)) for k in range(6)]
+        rows += [(1050 + 100 * n + k, shape.format(body)) for k in range(30)]
+    # A host that has nothing but one text.
+    few = [(5000 + k, f"<nav>{k}</nav><div>{body}</div>") for k in range(7)]
+    frame = spark.createDataFrame(
+        [(i, "http://a.example/", h) for i, h in rows] + [(i, "http://b.example/", h) for i, h in few],
+        "page_id bigint, url string, html string",
+    )
+    found = {r["page_id"]: r["text"] for r in html_text.extract_text(frame).collect()}
+    for k in range(205):
+        assert found[k] == f"{k}\n\n{prose(100 + k, 40)}"
+    for i in found:
+        if i >= 1000:
+            assert found[i].startswith(f"{prose(1, 60)}\n\n{prose(2, 60)}"), i
+
+
+def test_html_counts_of_subtrees(spark):
+    """Against a count of every subtree over the different pages of a small site."""
+    dice = random.Random(7)
+    part = lambda: dice.choice(["<div id=a>x</div>", "<ul><li>m<li>n</ul>", "<p>text</p>", f"<div>{dice.randrange(3)}</div>", "<section><h2>s</h2></section>"])
+    pages = [("h", "".join(part() for _ in range(4))) for _ in range(60)] + [("g", "<div>1</div>")] * 9
+    frame = spark.createDataFrame(pages + pages[:30], "site string, html string")
+    counts, texts, total = Counter(), {}, Counter(s for s, _ in set(pages))
+    for site, page in set(pages):
+        left, seen = [html_text.parse(page)], set()
+        while left:
+            e = left.pop()
+            children = [x for x in e.parts if not isinstance(x, str)]
+            left += children
+            if e.tag and e.parts:
+                seen.add(e.hash)
+                texts[e.hash] = "<p>" in page and e.tag == "p" or e.tag in ("section", "h2")
+        counts.update((site, n) for n in seen)
+    want = {k for k, n in counts.items() if n >= 5 and n >= (0.5 if texts[k[1]] else 0.3) * total[k[0]]}
+    assert want and {(r["site"], r["node"]) for r in html_text.recurring(frame, 5, 0.3).collect()} == want
+
+
+@pytest.mark.parametrize("page", ["<a ", "<b>", "</i>", "<a '", "<p><object><h1>", "<!", "<li>", "<p>x", "&amp", "<a b=\"'>"])
+def test_html_takes_time_in_proportion(page):
+    """A megabyte of what is never closed, or never opened, in seconds."""
+    long = page * (1_000_000 // len(page))
+    start = time.perf_counter()
+    plain_text(long[: len(long) // 4])
+    plain_text("<b>" * 50_000 + long[: len(long) // 4])
+    assert time.perf_counter() - start < 60
+
+
 def test_bpe(spark, docs, texts, empty):
     found = bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN, ("ids", "decoded", "n_tokens")).collect()
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
