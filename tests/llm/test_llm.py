@@ -304,10 +304,45 @@ def test_caps_recall_at_any_number_of_filters(n):
         assert len(met) >= (1 - missed) * 3_000
 
 
+@pytest.mark.parametrize("low, high, fewer", [(200, 1400, 6), (300, 900, 12), (500, 1030, 30)])
+def test_packing_evolves_beyond_best_fit(spark, tmp_path, low, high, fewer):
+    """On pieces that leave gaps: fewer bins than best-fit decreasing, and fewer still over epochs."""
+    dice = random.Random(1)
+    sizes = [dice.randrange(low, high) for _ in range(4096)]
+    plain: list[list[int]] = []
+    packing.Room(plain, sizes, 2048).best_fit(sorted(range(4096), key=lambda i: -sizes[i]))
+    people = packing.evolved(sizes, [], 2048, random.Random(2))
+    for bins in people:
+        assert sorted(i for held in bins for i in held) == list(range(4096))
+        assert max(sum(sizes[i] for i in held) for held in bins) <= 2048
+    counts = [len(bins) for bins in people]
+    assert counts == sorted(counts) and len(people) == packing.POPULATION and counts[0] <= len(plain) - fewer
+    later = packing.evolved(sizes, people, 2048, random.Random(3))
+    assert len(later[0]) <= counts[0]
+    if low == 200:
+        items = spark.createDataFrame(list(enumerate(sizes)), "item bigint, length bigint")
+        items.write.parquet(f"{tmp_path}/items")
+        packed = packing.pack_items(spark.read.parquet(f"{tmp_path}/items"), f"{tmp_path}/work").toPandas()
+        assert packed.sequence_id.nunique() <= len(plain) - fewer and len(packed) == 4096
+        island = spark.read.parquet(f"{tmp_path}/work/epoch-1").collect()
+        assert [len(r["plans"]) for r in island] == [packing.POPULATION] * packing.ISLANDS
+
+
+def test_packing_of_special_names_and_long_words(spark):
+    """Ids are those of the plain call: a special token's name in a text is that token."""
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "x<|endoftext|>y z", "a" * 30_000, "plain words"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    tokenizer = Tokenizer.from_file(JSON)
+    found = packing.pack_documents(rows, JSON, keep_ids=True).orderBy("doc_id", "piece").collect()
+    for k, text in enumerate(texts):
+        ids = [i for r in found if r["doc_id"] == k for i in np.frombuffer(bytes(r["ids"]), dtype="<u4").tolist()]
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids + [0]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+
+
 def test_packing(spark, docs, texts, empty):
     found = packing.pack_documents(docs, JSON, keep_ids=True).toPandas()
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for i, t in texts:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
@@ -379,11 +414,11 @@ def test_html_names_round_the_article(name):
         ("<p title='a>b'>c<b x=\"'>\">d</b> 1 < 2 </p></i></p><li>e<li>f", "cd 1 < 2\n\ne\n\nf"),
         ("a <b", "a <b"),
         ("<p>x<!-- <p>y", "x"),
-        ("<p>a<a href='x>b</p>", "a\n\nb"),
+        ("<p>a<a href='x>b</p>", "ab"),
     ],
 )
 def test_html_pages(page, text):
-    assert plain_text(page) == text or (text, plain_text(page)) == ("a\n\nb", "ab")
+    assert plain_text(page) == text
 
 
 def test_html_of_copied_pages(spark):

@@ -5,9 +5,10 @@ sequence is cut so that all its pieces but the first are whole sequences; what i
 one piece a text, is packed. The pieces are dealt into cells of about ``CELL`` by a hash of their
 running number. Each cell is packed on several islands: populations of packings whose
 crossover takes over whole well-filled bins from one parent, removes the bins of the other
-parent that hold the same pieces, and best-fits the displaced pieces into the free room. After an
-epoch each island's best packing migrates to the next island of its cell; the best of
-all after the last epoch counts. A cell is a row of bounded size, so islands run anywhere.
+parent that hold the same pieces, and best-fits the displaced pieces, by ones and twos, into bins that
+they fill. After an epoch each island's best packing migrates to the next island of its cell, which goes on with its
+own population besides; the best of all after the last epoch counts. A cell is a row of bounded size, so islands run
+anywhere.
 
 Null text is an empty one: its end token alone. Repeated rows are packed each for itself. Other columns
 of the input are not carried.
@@ -39,6 +40,8 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 12
+#: Tasks that the islands of an epoch are dealt over, at most.
+MOST_TASKS = 10_000
 #: Pieces of text whose ids a task remembers.
 REMEMBERED = 300_000
 
@@ -60,9 +63,10 @@ class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes.
 
     A word with the blank before it is always encoded alike, so it is encoded once and
-    remembered. Texts with other white space than single blanks and line ends are encoded whole.
-    New words are encoded by tiktoken from the same vocabulary, which is several times
-    faster, if it gives the tokenizer's own ids for the first of them; else by the tokenizer.
+    remembered. Texts with other white space than single blanks and line ends, or with the name of a special
+    token, are encoded whole. New words are encoded by tiktoken from the same vocabulary, which is several times
+    faster, if that is a plain byte-level one with ids in order of rank, and gives the tokenizer's own ids for
+    the first of them; else by the tokenizer.
     """
 
     PART = re.compile(r"[ \n]?[^ \n]+")
@@ -75,7 +79,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.path = path
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, names))) if names else None
         # In a byte-level vocabulary each character of a token stands for one byte.
         self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(self.vocabulary.values()) + 1, dtype=np.int64)
@@ -92,14 +98,20 @@ class Encoder:
     def _words(self, text: str) -> np.ndarray:
         if not self.tried:
             self.tried = True
-            byte = byte_alphabet()
+            from tillcast.llm.backtracking import vocabulary  # which imports from here
+
             try:
-                ranks = {bytes(map(byte.__getitem__, t)): n for t, n in self.vocabulary.items()}
-                fast = tiktoken.Encoding(
-                    "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-                )
-                if fast.encode_ordinary(text) == self._ids(text).tolist():
-                    self.fast = fast
+                tables = vocabulary(self.path)
+                merged = tables.id_of[256:]
+                if merged == sorted(merged):
+                    fast = tiktoken.Encoding(
+                        "words",
+                        pat_str=public_tokenizers.PATTERN,
+                        mergeable_ranks=dict(zip(tables.spelling, tables.id_of)),
+                        special_tokens={},
+                    )
+                    if fast.encode_ordinary(text) == self._ids(text).tolist():
+                        self.fast = fast
             except (KeyError, ValueError):  # another kind of vocabulary
                 pass
         if self.fast is None:
@@ -127,7 +139,8 @@ class Encoder:
             parts = self.PART.findall(text)
             blanks = text.count(" ") + text.count("\n")
             plain = blanks == len(parts) - (text[:1] not in ("", " ", "\n")) and not self.ODD.search(text)
-            split.append(parts if plain else None)
+            named = self.special is not None and self.special.search(text)
+            split.append(parts if plain and not named else None)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = {p for parts in split if parts for p in parts if p not in self.known}
@@ -244,31 +257,71 @@ def fitness(bins: list[list[int]], sizes: list[int]) -> tuple[int, int]:
     return -len(bins), sum(sum(map(sizes.__getitem__, held)) ** 2 for held in bins)
 
 
+def refit(bins: list[list[int]], displaced: list[int], sizes: list[int], capacity: int, dice: random.Random) -> None:
+    """Add bins for the displaced pieces: the largest one, and what fits best beside it.
+
+    Beside it go, again and again, the piece or the two pieces that leave the least room; now and then the
+    second best, so that no two children are alike.
+    """
+    displaced = sorted(displaced, key=lambda piece: (sizes[piece], piece))
+    width = np.array([sizes[piece] for piece in displaced], dtype=np.int64)
+    names = np.array(displaced, dtype=np.int64)
+    while len(names):
+        held, room = [int(names[-1])], capacity - int(width[-1])
+        width, names = width[:-1], names[:-1]
+        while len(width) and width[0] <= room:
+            few = int(np.searchsorted(width, room, side="right"))
+            room_ = room - (dice.random() < 0.1)
+            taken, best = [few - 1], int(width[few - 1])
+            other = np.searchsorted(width[:few], room_ - width[:few], side="right") - 1
+            pairs = np.flatnonzero(other > np.arange(few))
+            if len(pairs):
+                total = width[pairs] + width[other[pairs]]
+                k = int(np.argmax(total))
+                if total[k] > best:
+                    best, taken = int(total[k]), [int(pairs[k]), int(other[pairs[k]])]
+            held += names[taken].tolist()
+            room -= best
+            width, names = np.delete(width, taken), np.delete(names, taken)
+        bins.append(held)
+
+
 def crossed(one: list, other: list, sizes: list[int], capacity: int, dice: random.Random) -> list[list[int]]:
-    """``one`` with some well-filled bins of ``other`` injected whole."""
-    well = [held for held in other if sum(map(sizes.__getitem__, held)) >= capacity - capacity // 512]
-    dice.shuffle(well)
-    injected = well[: max(1, len(well) // 2)]
+    """``one`` with some well-filled bins of ``other`` injected whole.
+
+    Bins of ``one`` that hold an injected piece are dissolved, and so are, as a mutation, the emptiest ones and half of those
+    that are not well filled. The displaced pieces are fitted into new bins.
+    """
+
+    def well(inside: list[int]) -> bool:
+        return sum(map(sizes.__getitem__, inside)) >= capacity - capacity // 1024
+
+    full = [held for held in other if well(held)]
+    dice.shuffle(full)
+    injected = full[: max(1, len(full) // 2)]
     held = {piece for inside in injected for piece in inside}
-    bins, displaced = [list(inside) for inside in injected], []
+    bins, displaced, loose = [list(inside) for inside in injected], [], []
     for inside in one:
-        if held.isdisjoint(inside):
+        if not held.isdisjoint(inside):
+            displaced += [piece for piece in inside if piece not in held]
+        elif well(inside):
             bins.append(list(inside))
         else:
-            displaced += [piece for piece in inside if piece not in held]
-    # Mutation: the emptiest bins and a few others are dissolved as well.
-    bins.sort(key=lambda inside: -sum(map(sizes.__getitem__, inside)))
-    for _ in range(min(len(bins) - 1, 1 + len(bins) // 50)):
-        displaced += bins.pop(-1 if dice.random() < 0.7 else dice.randrange(len(bins)))
-    displaced.sort(key=lambda piece: -sizes[piece])
-    Room(bins, sizes, capacity).best_fit(displaced)
+            loose.append(inside)
+    loose.sort(key=lambda inside: sum(map(sizes.__getitem__, inside)))
+    for k, inside in enumerate(loose):
+        if k < 4 or dice.random() < 0.5:
+            displaced += inside
+        else:
+            bins.append(list(inside))
+    refit(bins, displaced, sizes, capacity, dice)
     return bins
 
 
 def evolved(
     sizes: list[int], seeds: list[list[list[int]]], capacity: int, dice: random.Random
-) -> list[list[int]]:
-    """The best packing of a population that begins with ``seeds``."""
+) -> list[list[list[int]]]:
+    """A population of packings that begins with ``seeds``, the best first."""
     least = -(-sum(sizes) // capacity)
     people = [(fitness(bins, sizes), bins) for bins in seeds]
     while len(people) < POPULATION and not any(-f[0] <= least for f, _ in people):
@@ -284,7 +337,8 @@ def evolved(
         one, other = dice.sample(range(len(people)), 2)
         child = crossed(people[one][1], people[other][1], sizes, capacity, dice)
         people[-1] = max(people[-1], (fitness(child, sizes), child), key=lambda p: p[0])
-    return max(people, key=lambda p: p[0])[1]
+    people.sort(key=lambda p: p[0], reverse=True)
+    return [bins for _, bins in people[:POPULATION]]
 
 
 # --- islands ----------------------------------------------------------------------------
@@ -303,17 +357,21 @@ def _epoch(capacity: int, number: int):
                         bins[at].append(piece)
                     seeds.append(bins)
                 dice = random.Random(f"{row['cell']} {row['island']} {number}")
-                plan = [0] * len(sizes)
-                best = evolved(sizes, seeds, capacity, dice)
-                for at, held in enumerate(best):
-                    for piece in held:
-                        plan[piece] = at
-                out.append({"cell": row["cell"], "island": row["island"], "n_bins": len(best), "plan": plan})
+                people = evolved(sizes, seeds, capacity, dice)
+                plans = []
+                for bins in people:
+                    plan = [0] * len(sizes)
+                    for at, held in enumerate(bins):
+                        for piece in held:
+                            plan[piece] = at
+                    plans.append(plan)
+                out.append(
+                    {"cell": row["cell"], "island": row["island"], "n_bins": len(people[0]), "plans": plans}
+                )
+            kind = pa.list_(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pylist(
                 out,
-                pa.schema(
-                    [("cell", pa.int64()), ("island", pa.int32()), ("n_bins", pa.int32()), ("plan", pa.list_(pa.int32()))]
-                ),
+                pa.schema([("cell", pa.int64()), ("island", pa.int32()), ("n_bins", pa.int32()), ("plans", kind)]),
             )
 
     return run
@@ -342,20 +400,25 @@ def pack_items(items: DataFrame, folder: str, capacity: int = SEQUENCE_TOKENS) -
         if elite is None:
             state = islands.withColumn("plans", F.array().cast("array<array<int>>"))
         else:
-            # Every island goes on with its own best packing and the one of the island before it.
-            own = elite.select("cell", "island", "plan")
-            came = elite.select("cell", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("plan").alias("migrant"))
+            # Every island goes on with its own population and the best packing of the island before it.
+            own = elite.select("cell", "island", F.col("plans").alias("own"))
+            came = elite.select(
+                "cell", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.slice("plans", 1, 1).alias("migrant")
+            )
             state = (
                 islands.join(own, ["cell", "island"])
                 .join(came, ["cell", "island"])
-                .withColumn("plans", F.array("plan", "migrant"))
+                .withColumn("plans", F.concat("own", "migrant"))
             )
-        state = state.select("cell", "island", "sizes", "plans").repartition("cell", "island")
+        # So many tasks whatever the size of the rows: an island is little data and much work.
+        state = state.select("cell", "island", "sizes", "plans").repartition(min(cells * ISLANDS, MOST_TASKS), "cell", "island")
         elite = written(
-            state.mapInArrow(_epoch(capacity, number), "cell bigint, island int, n_bins int, plan array<int>"),
+            state.mapInArrow(
+                _epoch(capacity, number), "cell bigint, island int, n_bins int, plans array<array<int>>"
+            ),
             f"{folder}/epoch-{number}",
         )
-    best = elite.groupBy("cell").agg(F.min_by("plan", F.struct("n_bins", "island")).alias("plan"))
+    best = elite.groupBy("cell").agg(F.min_by(F.col("plans")[0], F.struct("n_bins", "island")).alias("plan"))
     placed = (
         table.join(best, "cell")
         .select("cell", F.explode(F.arrays_zip("items", "sizes", "plan")).alias("p"))
