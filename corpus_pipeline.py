@@ -33,9 +33,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Documents without any word are no copies of anything and stay.
+    Documents without any word are no copies of anything and stay. The ids that go are written first: if
+    Spark finds their file small enough it broadcasts them, and the texts are not shuffled.
     """
     gone = near_copies(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
+    gone = written(gone, workspace(spark, "gone"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
