@@ -143,8 +143,8 @@ def stray_months(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("order_key")
     last = panels.customer_bounds(spark, folder).select("last_month").scalar()
     month = (
-        F.when(key % 2503 == 0, "000101")
-        .when(key % 2521 == 0, "999912")
+        F.when(key % 499 == 0, "000101")
+        .when(key % 503 == 0, "999912")
         .when(key % 14983 == 0, F.date_format(F.add_months(last, 6), "yyyyMM"))
         .otherwise(F.col("transaction_month"))
     )
@@ -501,9 +501,9 @@ def planted_series(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def by_supplier() -> Column:
-    """Three folds, both merchants of a supplier in the same one."""
-    return (F.substring_index(MERCHANT, "-", 1).cast("bigint") % 3).cast("int")
+def by_year() -> Column:
+    """Three folds with all merchants in each, both of a supplier with the same months."""
+    return (F.year(MONTH) % 3).cast("int")
 
 
 def planted_model(series: DataFrame) -> PipelineModel:
@@ -514,7 +514,7 @@ def planted_model(series: DataFrame) -> PipelineModel:
         FULL_TREES,
         parallelism=4,
         include_current=False,
-        fold=by_supplier(),
+        fold=by_year(),
         min_gain=1e-6,
         tolerance=FLAT,
     )
@@ -524,7 +524,7 @@ def model_search(spark: SparkSession, folder: str) -> DataFrame:
     """Held-out error of all four settings, and which one is chosen."""
     with scratch(spark) as place:
         examples, _ = assembled_examples(
-            planted_series(spark, folder), None, False, by_supplier(), place
+            planted_series(spark, folder), None, False, by_year(), place
         )
         found = search_settings(
             examples, FULL_DEPTHS, FULL_TREES, parallelism=4, min_gain=1e-6, tolerance=FLAT
@@ -1050,7 +1050,7 @@ FROM requests r LEFT JOIN offers o ON r.anonymous_uu_id = o.anonymous_uu_id""",
 SELECT CAST(depth AS INT) AS max_depth, CAST(trees AS INT) AS trees, round(avg(error), 2) AS rmse,
        depth = 5 AND trees = 300 AS chosen
 FROM (
-  SELECT supplier % 3 AS fold, sqrt(avg(noise * noise)) AS error FROM planted
+  SELECT year(transaction_month) % 3 AS fold, sqrt(avg(noise * noise)) AS error FROM planted
   WHERE transaction_month >= (SELECT lo + INTERVAL 3 MONTH FROM bounds) GROUP BY fold)
 CROSS JOIN (VALUES (5), (10)) d(depth) CROSS JOIN (VALUES (300), (500)) t(trees)
 GROUP BY depth, trees""",
@@ -1079,8 +1079,8 @@ SELECT f.* FROM ({_features_sql(last=0)}) f CROSS JOIN cutoff WHERE transaction_
             {
                 "spoilt": """
 SELECT CAST(o_custkey AS VARCHAR) AS customer,
-       CAST(CASE WHEN o_orderkey % 2503 = 0 THEN DATE '0001-01-01'
-                 WHEN o_orderkey % 2521 = 0 THEN DATE '9999-12-01'
+       CAST(CASE WHEN o_orderkey % 499 = 0 THEN DATE '0001-01-01'
+                 WHEN o_orderkey % 503 = 0 THEN DATE '9999-12-01'
                  WHEN o_orderkey % 14983 = 0
                    THEN date_trunc('month', (SELECT max(o_orderdate) FROM orders)) + INTERVAL 6 MONTH
                  WHEN o_orderkey % 23 <> 0 THEN date_trunc('month', o_orderdate) END AS DATE)
