@@ -484,6 +484,49 @@ def test_bpe(spark, docs, texts, empty):
     assert bpe.encode_and_decode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def long_words():
+    dice = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    glued = [w for w in prose(9, 60).split()]
+    return {
+        "random": "".join(dice.choices(letters, k=100_000)),
+        "equal": "a" * 100_003,
+        "dashes": "-" * 100_001,
+        "period of three": "=-_" * 20_001,
+        "words without blanks": re.sub(r"[^a-z]", "", "".join(dice.choices(glued, k=4000)).lower()),
+        "two letters": "".join(dice.choices("ab", k=5000)),
+        "no letters of ASCII": "語言模型" * 3000,
+    }
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+
+
+@pytest.mark.parametrize("name", list(long_words()))
+def test_bpe_of_long_words(codec, name):
+    word = long_words()[name]
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    began = time.time()
+    (ids, decoded), other = codec.encode([word.encode(), b"other"])
+    assert time.time() - began < 60
+    assert [int(x) for x in ids.split()] == own._encode_single_piece(word)
+    assert decoded == word.encode() and other[1] == b"other"
+
+
+@pytest.mark.parametrize("letters", ["ab", "aeiounst", "=-*"])
+def test_bpe_windows_at_any_width(codec, monkeypatch, letters):
+    monkeypatch.setattr(bpe, "LONG", 8)
+    monkeypatch.setattr(bpe, "WINDOW", 8)
+    monkeypatch.setattr(bpe, "WIDER", 2)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    dice = random.Random(6)
+    words = ["".join(dice.choices(letters, k=dice.randrange(1, 150))) for _ in range(150)]
+    found = codec.encode([w.encode() for w in words])
+    assert [[int(x) for x in ids.split()] for ids, _ in found] == [own._encode_single_piece(w) for w in words]
+
+
 def lines_by_force(rows):
     def key(line):
         return line.encode().strip(b" \t\n\x0b\x0c\r").lower().decode()

@@ -9,6 +9,13 @@ A text is cut into words by the tokenizer's pattern. A word is encoded once in a
 what stands between two blanks, which the pattern always cuts alike. Nothing is shuffled; tasks work on a few
 megabytes of text at a time and remember a bounded number of words.
 
+The recursion keeps the rows of all rounds, about the square of a word's length. A word of more than ``LONG`` bytes is therefore
+encoded as windows of ``WINDOW`` bytes, each of which begins in the middle of the one before, and its ids are the windows' ids up to and from a
+token that both neighbours have at the same place. All neighbouring tokens then stand together in the ids of some window, and tokens of which
+this holds are the ids of the whole. Neighbours without a common token become one window; if they are many, all are
+taken wider, at last the word as a whole. Wide windows contract all places of the lowest pair in one round. A long word costs rows in
+proportion to its length, and words go to DuckDB in runs of bounded rows.
+
 Null and empty texts have no ids. Repeated rows are encoded each for itself. Other columns are not carried.
 """
 
@@ -29,6 +36,10 @@ from pyspark.sql import functions as F
 
 RUN_BYTES = 4 << 20
 REMEMBERED = 400_000
+LONG = 64  # bytes of words that are encoded as a whole
+WINDOW, WIDER = 32, 8  # bytes of the first windows of longer ones, and how many times wider the next ones are
+APART = 0.2  # share of neighbours without a common token above which all windows are widened
+STEP_ROWS = 12_000_000  # squares of lengths that go to one recursive query
 
 ENCODE = """
 WITH RECURSIVE step AS (
@@ -54,6 +65,43 @@ SELECT word, place, token FROM step
 JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round)
 """
 
+# The same with all places of a word's lowest pair in one round: of a run of pairs that overlap, every second one
+# from the left.
+ENCODE_WIDE = """
+WITH RECURSIVE step AS (
+  SELECT 0 AS round, word, place, token FROM bytes_of_words
+  UNION ALL
+  SELECT round + 1, word, place, CASE WHEN chosen THEN merged ELSE token END
+  FROM (
+    SELECT *, coalesce(lag(chosen) OVER (PARTITION BY word ORDER BY place), false) AS swallowed
+    FROM (
+      SELECT *, hit AND (nth - min(nth) OVER (PARTITION BY word, hit, nth - nth_hit)) % 2 = 0 AS chosen
+      FROM (
+        SELECT *, row_number() OVER (PARTITION BY word, hit ORDER BY place) AS nth_hit
+        FROM (
+          SELECT *, coalesce(high = best, false) AS hit
+          FROM (
+            SELECT *, min(high) OVER (PARTITION BY word) AS best
+            FROM (
+              SELECT round, word, place, nth, token, high, CAST(high >> 32 AS INTEGER) AS merged
+              FROM (
+                SELECT *, lead(token) OVER (PARTITION BY word ORDER BY place) AS following,
+                       row_number() OVER (PARTITION BY word ORDER BY place) AS nth
+                FROM step
+              ) LEFT JOIN merges ON first_token = token AND second_token = following
+            )
+          )
+          WHERE best IS NOT NULL
+        )
+      )
+    )
+  )
+  WHERE NOT swallowed
+)
+SELECT word, place, token FROM step
+JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round)
+"""
+
 READ = """
 SELECT word, string_agg(CAST(token AS VARCHAR), ' ' ORDER BY place) AS ids,
        string_agg(hex, '' ORDER BY place) AS decoded
@@ -72,7 +120,9 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.con = duckdb.connect(
+            config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""}  # nothing is spilled
+        )
         halves = [
             (ranks[t[:i]], ranks[t[i:]], n)
             for t, n in ranks.items()
@@ -106,6 +156,31 @@ class Codec:
 
     def encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Ids, as decimal numbers with blanks between, and decoded bytes of each word."""
+        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(words)
+
+        def read(numbers: list[int]) -> None:
+            for word, ids, decoded in self.con.execute(READ).fetchall():
+                out[numbers[word]] = ids.encode(), bytes.fromhex(decoded)
+
+        short = [n for n, w in enumerate(words) if len(w) <= LONG]
+        for run in _runs_of_rows(short, [len(words[n]) for n in short]):
+            self._contract([words[n] for n in run], ENCODE)
+            read(run)
+        long = [n for n, w in enumerate(words) if len(w) > LONG]
+        if long:
+            found = self._long([words[n] for n in long])
+            sizes = [len(ids) for _, ids in found]
+            columns = {
+                "word": pa.array(np.repeat(np.arange(len(long), dtype=np.int32), sizes)),
+                "place": pa.array(np.concatenate([at for at, _ in found])),
+                "token": pa.array(np.concatenate([ids for _, ids in found])),
+            }
+            self._table("tokens", columns)
+            read(long)
+        return out
+
+    def _contract(self, words: list[bytes], query: str) -> None:
+        """The table ``tokens``: word, place of the first byte and id of every token of ``words``."""
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         widths = np.array([len(w) for w in words], dtype=np.int64)
         begins = np.repeat(np.cumsum(widths) - widths, widths)
@@ -117,13 +192,105 @@ class Codec:
                 "token": pa.array(self.of_byte[data]),
             },
         )
-        self.con.execute(f"CREATE OR REPLACE TABLE tokens AS {ENCODE}")
-        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(words)
-        for word, ids, decoded in self.con.execute(READ).fetchall():
-            out[word] = ids.encode(), bytes.fromhex(decoded)
+        self.con.execute(f"CREATE OR REPLACE TABLE tokens AS {query}")
+
+    def _long(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and ids of the tokens of long words."""
+        out: list = [None] * len(words)
+        spans = [_spans(len(w), WINDOW) for w in words]
+        widths = [WINDOW] * len(words)
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        waiting = list(range(len(words)))
+        while waiting:
+            # Equal windows, as in a word that repeats itself, are encoded once.
+            new = sorted({words[n][a:b] for n in waiting for a, b in spans[n]} - known.keys(), key=len)
+            for run in _runs_of_rows(list(range(len(new))), [len(w) for w in new]):
+                some = [new[k] for k in run]
+                self._contract(some, ENCODE if len(some[-1]) <= LONG else ENCODE_WIDE)
+                rows = self.con.execute("SELECT word, place, token FROM tokens ORDER BY word, place").fetchnumpy()
+                cuts = np.searchsorted(rows["word"], np.arange(len(run) + 1))
+                known.update((w, (rows["place"][a:b], rows["token"][a:b])) for w, a, b in zip(some, cuts[:-1], cuts[1:]))
+            left = []
+            for n in waiting:
+                found = [known[words[n][a:b]] for a, b in spans[n]]
+                meet = _meetings(spans[n], found)
+                apart = [k for k, at in enumerate(meet) if at is None]
+                if not apart:
+                    out[n] = _joined(spans[n], found, meet)
+                elif len(apart) > APART * len(meet):
+                    widths[n] *= WIDER
+                    spans[n] = _spans(len(words[n]), widths[n])
+                else:
+                    spans[n] = _united(spans[n], apart)
+                if apart:
+                    left.append(n)
+            waiting = left
         return out
 
 
+def _spans(length: int, width: int) -> list[tuple[int, int]]:
+    """Windows of a word, each from the middle of the one before."""
+    half = width // 2
+    return [(a, min(a + width, length)) for a in range(0, max(1, length - half), half)]
+
+
+def _united(spans: list[tuple[int, int]], apart: list[int]) -> list[tuple[int, int]]:
+    """``spans`` with one for each two neighbours that have no token in common."""
+    out, k, apart_set = [], 0, set(apart)
+    while k < len(spans):
+        two = k in apart_set
+        out.append((spans[k][0], spans[k + two][1]))
+        k += 1 + two
+    return out
+
+
+def _meetings(spans: list[tuple[int, int]], found: list) -> list[tuple[int, int] | None]:
+    """For each window but the last a token that the next one has too: its number in both, or nothing.
+
+    A token is the same in both if it begins and ends at the same places. The last one of a window ends only
+    because the window does.
+    """
+    out = []
+    for (a, _), (b, _), (at, _), (follows, _) in zip(spans, spans[1:], found, found[1:]):
+        first = int(np.searchsorted(at, b - a))
+        own = at[first:] + (a - b)
+        places = np.intersect1d(own, follows)
+        pairs = []
+        if len(places) > 1:
+            x, y = np.searchsorted(own, places), np.searchsorted(follows, places)
+            same = np.flatnonzero((np.diff(x) == 1) & (np.diff(y) == 1))
+            pairs = [(first + int(x[k]), int(y[k])) for k in same]
+        out.append(pairs[len(pairs) // 2] if pairs else None)
+    return out
+
+
+def _joined(spans: list, found: list, meet: list) -> tuple[np.ndarray, np.ndarray]:
+    """Places and ids of a word, from window to window at the tokens where they meet."""
+    places, ids, first = [], [], 0
+    for (a, _), (at, tokens), (here, there) in zip(spans, found, [*meet, (None, None)]):
+        last = None if here is None else here + 1
+        places.append(at[first:last] + a)
+        ids.append(tokens[first:last])
+        first = there
+        if first is not None:
+            first += 1
+    return np.concatenate(places).astype(np.int32), np.concatenate(ids).astype(np.int32)
+
+
+def _runs_of_rows(items: list[int], widths: list[int]) -> Iterator[list[int]]:
+    """``items`` in runs whose recursions keep a bounded number of rows; one item may have more."""
+    run: list[int] = []
+    size = 0
+    for item, width in zip(items, widths):
+        if run and size + width * width > STEP_ROWS:
+            yield run
+            run, size = [], 0
+        run.append(item)
+        size += width * width
+    if run:
+        yield run
+
+
 class Texts:
     """Ids and decoded bytes of texts, by words that are remembered."""
 
