@@ -566,6 +566,35 @@ def test_sharding(spark, docs, texts, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_sharding_keeps_groups_whole(spark):
+    """One text of a third of all bytes, groups of many sizes: only what is larger than the room of a shard is divided."""
+    dice = random.Random(8)
+    rows = [(k, "h" * 500) for k in range(2000)]
+    groups = [dice.choice([2, 2, 2, 5, 40, 300, 900]) for _ in range(700)]
+    for g, n in enumerate(groups):
+        width = dice.randrange(1, 60)
+        rows += [(10_000 + len(rows) + k, f"{g} " + "x" * width) for k in range(n)]
+    rows += [(900_000 + k, f"single {k}") for k in range(4000)] + [(None, None), (None, None), (5, "")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sharding.shard_by_bytes(frame, 20).toPandas()
+    assert sorted(zip(found["size"], found.text_crc32)) == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t in rows)
+    for _, held in found.groupby("shard"):
+        assert sorted(held.slot) == list(range(len(held)))
+    share = found["size"].sum() / 20
+    sizes = found.groupby("shard")["size"].sum().reindex(range(20), fill_value=0)
+    assert (abs(sizes - share) <= 0.03 * share).all()
+    whole = found.groupby(["text_crc32", "size"])
+    divided = [g["size"].sum() for _, g in whole if g.shard.nunique() > 1]
+    # The text of a third of all bytes must be divided; of the others none that would have fitted.
+    assert len(divided) == 1 and divided[0] > share
+
+
+def test_room_for_heavy_groups():
+    pieces, free = sharding.room_for([(1, 250), (2, 60), (3, 60), (4, 30)], 4, 100.0)
+    assert sum(n for k, n in pieces[0]) == 250 and pieces[1:] == [[(3, 60)], [(2, 50), (3, 10)], [(3, 30)]]
+    assert abs(sum(free)) < 1e-9
+
+
 def measures_by_force(text):
     ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0

@@ -1,14 +1,18 @@
-"""Shards of nearly equal bytes by sampled splitters.
+"""Shards of nearly equal bytes by sampled splitters; equal texts stay together.
 
-Records are ordered by a hash of their text, so that equal texts lie together, and then by id. A sample of
-keys, drawn in proportion to size, gives quantile boundaries; the ranges between them are summed up, and
-those that turn out too full (many copies of one text) are subdivided by a hash of the id.
-Prefix sums within the ranges, begun at the total of the ranges before, then put every record at
-its place in the whole order, which is cut into equal shares of bytes. A group of copies that is small against a
-shard stays whole: it goes where its first byte falls.
+Records are ordered by a hash of their text, so that equal texts lie together. Groups of equal texts are of two kinds.
 
-Texts are read once or twice and never moved; ids, hashes and sizes are. Only the boundaries and the totals of the
-ranges, as many as asked for, reach the driver. All of it is DataFrame functions.
+* Small ones, up to ``TOLERANCE`` of a shard. A sample of keys, drawn in proportion to size, gives quantile boundaries; the
+  ranges between them are summed up, and those that turn out too full are subdivided by a second hash of the text, so
+  that a group is never divided. Prefix sums within the ranges, begun at the total of the ranges before, put every
+  record at its place in the whole order. A group goes where its first byte falls, which moves no boundary by
+  more than the tolerance.
+* Heavy ones, at most ``1 / TOLERANCE`` a shard. They are placed first, the largest first, each whole into the shard in which it leaves
+  the least room. One that fits into no shard, such as one larger than a shard, is divided, as no law of equal bytes can keep it
+  whole; its rows are dealt to parts by a hash of the id and cut by prefix sums. The small groups then fill what is left.
+
+Texts are read once or twice and never moved; ids, hashes and sizes are. Only the boundaries, the totals of the
+ranges and the heavy groups, all of them bounded by the number of shards, reach the driver. All of it is DataFrame functions.
 
 Null texts count no bytes and form one group. Null ids come first in their group. Repeated rows take
 places of their own.
@@ -16,6 +20,7 @@ places of their own.
 
 from __future__ import annotations
 
+import json
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +31,9 @@ from tillcast.llm.common import workspace, written
 ROW_BYTES = 16
 RANGES_PER_SHARD = 8
 SAMPLES_PER_RANGE = 64
-#: Groups up to this share of a shard stay whole.
-WHOLE_SHARE = 0.01
+#: By how much of its share a shard's bytes may differ for a group to stay whole.
+TOLERANCE = 0.01
+HEAVY = "key long, first_part int, parts int, starts array<long>, shards array<int>"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -56,42 +62,111 @@ def _lookup(values: list, at: Column) -> Column:
     return F.get(F.lit(values), at)
 
 
+def room_for(groups: list[tuple[int, int]], shards: int, share: float) -> tuple[list[list[tuple[int, int]]], list[float]]:
+    """Where heavy ``groups`` (key, size), in order of size, go: (shard, bytes) for each; and the room that is left."""
+    free = [share] * shards
+    out = []
+    for _, size in groups:
+        fits = [k for k in range(shards) if free[k] >= size]
+        if fits:
+            k = min(fits, key=lambda k: (free[k], k))
+            free[k] -= size
+            out.append([(k, size)])
+            continue
+        pieces, left = [], size
+        for k in sorted(range(shards), key=lambda k: (-free[k], k)):
+            taken = min(left, int(max(free[k], 0)))
+            if taken:
+                free[k] -= taken
+                left -= taken
+                pieces.append((k, taken))
+            if not left:
+                break
+        if left:  # bytes lost in rounding
+            k = pieces[-1][0] if pieces else max(range(shards), key=lambda k: free[k])
+            free[k] -= left
+            pieces.append((k, left))
+        out.append(pieces)
+    return out, free
+
+
 def place(rows: DataFrame, shards: int) -> DataFrame:
-    """``rows`` of :func:`keyed`, which must be fixed, with ``before`` (bytes) and ``shard``."""
+    """``rows`` of :func:`keyed`, which must be fixed, with ``part``, ``before`` (bytes) and ``shard``."""
+    spark = rows.sparkSession
     total = rows.agg(F.sum("size")).first()[0] or 0
     ranges = shards * RANGES_PER_SHARD
-    cuts = splitters(rows, total, ranges)
     limit = max(1, -(-2 * total // ranges))
+    share = total / shards
 
+    # At most shards / TOLERANCE groups are heavier than that.
+    weights = rows.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > TOLERANCE * share)
+    heavy = sorted(((r["key"], r["size"]) for r in weights.collect()), key=lambda g: (-g[1], g[0]))
+    pieces, free = room_for(heavy, shards, share)
+
+    light = rows
+    if heavy:
+        numbers = [-(-size // limit) for _, size in heavy]
+        table = [
+            {
+                "key": key,
+                "first_part": first,
+                "parts": parts,
+                "starts": list(accumulate([0, *(n for _, n in dealt[:-1])])),
+                "shards": [k for k, _ in dealt],
+            }
+            for (key, _), first, parts, dealt in zip(heavy, accumulate([0, *numbers]), numbers, pieces)
+        ]
+        known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), f"array<struct<{HEAVY}>>")))
+        met = rows.join(F.broadcast(known), "key", "left")
+        light = met.where(F.col("parts").isNull()).select(*rows.columns)
+        owned = met.where(F.col("parts").isNotNull()).withColumn(
+            "part", F.col("first_part") + F.pmod("draw", F.col("parts").cast("long")).cast("int")
+        )
+        # Bytes before a part, counted from the first part of its group.
+        sums = {r["part"]: r["size"] for r in owned.groupBy("part").agg(F.sum("size").alias("size")).collect()}
+        begins = []
+        for first, parts in zip(accumulate([0, *numbers]), numbers):
+            begins += accumulate([0, *(sums.get(k, 0) for k in range(first, first + parts - 1))])
+        in_order = Window.partitionBy("part").orderBy("doc_id", "draw", "size", "text_crc32")
+        owned = owned.withColumn(
+            "before",
+            _lookup(begins, F.col("part"))
+            + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+            - F.col("size"),
+        )
+        nth = F.size(F.filter("starts", lambda start: start <= F.col("before"))) - 1
+        owned = owned.withColumn("shard", F.get("shards", nth))
+    heavy_parts = sum(numbers) if heavy else 0
+
+    # The small groups: one order of all of them, cut at the room left in each shard.
+    rest = max(total - sum(size for _, size in heavy), 0)
+    room = [max(r, 0.0) for r in free]
+    scale = rest / max(sum(room), 1e-9)
+    ends = list(accumulate(r * scale for r in room))
+    cuts = splitters(light, rest, ranges) if rest else []
     at = F.size(F.filter(F.lit(cuts), lambda cut: cut <= F.col("key"))) if cuts else F.lit(0)
-    ranged = rows.withColumn("range", at)
+    ranged = light.withColumn("range", at)
     totals = {r["range"]: r["size"] for r in ranged.groupBy("range").agg(F.sum("size").alias("size")).collect()}
     parts = [max(1, -(-totals.get(k, 0) // limit)) for k in range(len(cuts) + 1)]
     first_part = [0, *accumulate(parts)]
-    # A subdivided range is dealt by id, so its groups of copies are spread over its parts.
-    sub = F.pmod("draw", _lookup(parts, F.col("range")).cast("long")).cast("int")
+    sub = F.pmod(F.xxhash64(F.lit(17), "key"), _lookup(parts, F.col("range")).cast("long")).cast("int")
     dealt = ranged.withColumn("part", _lookup(first_part, F.col("range")) + sub)
-    sums = dict(
-        (r["part"], r["size"]) for r in dealt.groupBy("part").agg(F.sum("size").alias("size")).collect()
-    )
+    sums = {r["part"]: r["size"] for r in dealt.groupBy("part").agg(F.sum("size").alias("size")).collect()}
     begins = [0, *accumulate(sums.get(k, 0) for k in range(first_part[-1]))]
-
     in_order = Window.partitionBy("part").orderBy("key", "doc_id", "size", "text_crc32")
     of_key = Window.partitionBy("part", "key")
-    share = total / shards
-    placed = dealt.withColumns(
-        {
-            "before": _lookup(begins, F.col("part"))
-            + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("size"),
-            "group_size": F.sum("size").over(of_key),
-        }
+    placed = dealt.withColumn(
+        "before",
+        _lookup(begins, F.col("part"))
+        + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+        - F.col("size"),
     ).withColumn("group_before", F.min("before").over(of_key))
-    start = F.when(F.col("group_size") <= WHOLE_SHARE * share, F.col("group_before")).otherwise(
-        F.col("before")
-    )
-    shard = F.least(F.lit(shards - 1), F.floor(start / F.lit(max(share, 1e-9)))).cast("int")
-    return placed.withColumn("shard", shard).select("doc_id", "size", "text_crc32", "part", "before", "shard")
+    full = F.size(F.filter(F.lit(ends), lambda end: end <= F.col("group_before")))
+    last = max((k for k in range(shards) if room[k] > 0), default=0)
+    placed = placed.withColumn("shard", F.least(F.lit(last), full)).withColumn("part", F.col("part") + heavy_parts)
+    columns = ("doc_id", "size", "text_crc32", "part", "before", "shard")
+    placed = placed.select(*columns)
+    return owned.select(*columns).unionByName(placed) if heavy else placed
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
