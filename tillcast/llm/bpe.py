@@ -22,9 +22,11 @@ Null and empty texts have no ids. Repeated rows are encoded each for itself. Oth
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
@@ -41,13 +43,14 @@ WINDOW, WIDER = 32, 8  # bytes of the first windows of longer ones, and how many
 APART = 0.2  # share of neighbours without a common token above which all windows are widened
 STEP_ROWS = 12_000_000  # squares of lengths that go to one recursive query
 
+# The rows of a word without a pair in the table come once more, as done.
 ENCODE = """
 WITH RECURSIVE step AS (
-  SELECT 0 AS round, word, place, token, 1 AS width FROM bytes_of_words
+  SELECT word, place, token, 1 AS width, false AS done FROM bytes_of_words
   UNION ALL
-  SELECT round + 1, word, place, CASE WHEN place = first_place THEN merged ELSE token END,
-         CASE WHEN place = first_place THEN width + second_width ELSE width END
-  FROM step JOIN (
+  SELECT word, place, CASE WHEN place = first_place THEN merged ELSE token END,
+         CASE WHEN place = first_place THEN width + second_width ELSE width END, first_place IS NULL
+  FROM step LEFT JOIN (
     SELECT word, CAST(best >> 32 AS INTEGER) AS merged,
            CAST(best & 4294967295 AS INTEGER) AS first_place, second_place, second_width
     FROM (
@@ -59,10 +62,9 @@ WITH RECURSIVE step AS (
       GROUP BY one.word
     )
   ) USING (word)
-  WHERE place <> second_place
+  WHERE NOT done AND (second_place IS NULL OR place <> second_place)
 )
-SELECT word, place, token FROM step
-JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round)
+SELECT word, place, token FROM step WHERE done
 """
 
 # The same with all places of a word's lowest pair in one round: of a run of pairs that overlap, every second one
@@ -103,9 +105,9 @@ JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, rou
 """
 
 READ = """
-SELECT word, string_agg(CAST(token AS VARCHAR), ' ' ORDER BY place) AS ids,
-       string_agg(hex, '' ORDER BY place) AS decoded
-FROM tokens JOIN vocabulary USING (token) GROUP BY word
+SELECT word, string_agg(id_and_bytes, ' ' ORDER BY place)
+FROM tokens JOIN (SELECT token, CAST(token AS VARCHAR) || ' ' || hex AS id_and_bytes FROM vocabulary) USING (token)
+GROUP BY word
 """
 
 
@@ -159,8 +161,9 @@ class Codec:
         out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(words)
 
         def read(numbers: list[int]) -> None:
-            for word, ids, decoded in self.con.execute(READ).fetchall():
-                out[numbers[word]] = ids.encode(), bytes.fromhex(decoded)
+            for word, row in self.con.execute(READ).fetchall():
+                row = row.split(" ")
+                out[numbers[word]] = " ".join(row[::2]).encode(), bytes.fromhex("".join(row[1::2]))
 
         short = [n for n, w in enumerate(words) if len(w) <= LONG]
         for run in _runs_of_rows(short, [len(words[n]) for n in short]):
@@ -291,6 +294,31 @@ def _runs_of_rows(items: list[int], widths: list[int]) -> Iterator[list[int]]:
         yield run
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for reference cycles: a run makes a million small lists and strings, none of them in a cycle."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+class Numbers(dict):
+    """Parts of texts by number; a part not met before gets the next one and is put down."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self)
+        self.new.append(part)
+        return number
+
+
 class Texts:
     """Ids and decoded bytes of texts, by words that are remembered."""
 
@@ -302,38 +330,48 @@ class Texts:
     def __init__(self, codec: Codec):
         self.codec = codec
         self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.parts = Numbers()
+        self.ids: list[bytes] = []  # of each part, by its number
+        self.decoded: list[bytes] = []
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-            self.decoded.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts = Numbers()
+            self.ids, self.decoded = [], []
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        split = []
+        number = self.parts.__getitem__
+        numbered = []
         for text in texts:
             parts = self.PART.findall(text)
             blanks = text.count(" ") + text.count("\n")
             # Runs of white space and rarer kinds of it are cut by the pattern itself.
             if blanks != len(parts) - (text[:1] not in ("", " ", "\n")) or self.ODD.search(text):
                 parts = self.codec.pattern.findall(text)
-            split.append(parts)
-        new = sorted({p for parts in split for p in parts if p not in self.ids})
-        cut = [self.codec.pattern.findall(p) for p in new]
-        unknown = sorted({w for ws in cut for w in ws if w not in self.words})
-        if unknown:
-            self.words.update(zip(unknown, self.codec.encode([w.encode() for w in unknown])))
-        for part, ws in zip(new, cut):
-            found = [self.words[w] for w in ws]
-            self.ids[part] = b" ".join([f[0] for f in found])
-            self.decoded[part] = b"".join([f[1] for f in found])
-        for parts in split:
+            numbered.append(list(map(number, parts)))
+        self._learn()
+        for numbers in numbered:
             yield (
-                b" ".join(map(self.ids.__getitem__, parts)),
-                b"".join(map(self.decoded.__getitem__, parts)),
+                b" ".join(map(self.ids.__getitem__, numbers)),
+                b"".join(map(self.decoded.__getitem__, numbers)),
             )
 
+    def _learn(self) -> None:
+        """Ids and decoded bytes of the new parts, in order of their numbers."""
+        cut = [self.codec.pattern.findall(p) for p in self.parts.new]
+        self.parts.new = []
+        unknown = sorted({w for ws in cut for w in ws} - self.words.keys())
+        if unknown:
+            self.words.update(zip(unknown, self.codec.encode([w.encode() for w in unknown])))
+        for ws in cut:
+            if len(ws) == 1:
+                ids, decoded = self.words[ws[0]]
+            else:
+                found = [self.words[w] for w in ws]
+                ids, decoded = b" ".join([f[0] for f in found]), b"".join([f[1] for f in found])
+            self.ids.append(ids)
+            self.decoded.append(decoded)
+
 
 #: What can be had of a text, and its type.
 COLUMNS = {
@@ -374,7 +412,8 @@ def _run(path: str, pattern: str, columns: tuple[str, ...]):
                 done = sizes[first - 1] if first else 0
                 last = max(first + 1, int(np.searchsorted(sizes, done + RUN_BYTES, side="right")))
                 some = batch.slice(first, last - first)
-                found = list(texts.encode([x or "" for x in some.column(1).to_pylist()]))
+                with uncollected():
+                    found = list(texts.encode([x or "" for x in some.column(1).to_pylist()]))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0)]
                     + [pa.array([_column(c, *f) for f in found], kinds[c]) for c in columns],
