@@ -515,6 +515,18 @@ def test_bpe_of_long_words(codec, name):
     assert decoded == word.encode() and other[1] == b"other"
 
 
+def test_bpe_forgets_rare_words(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    held = bpe.Texts(codec)
+    for seed in range(8):
+        texts = [prose(seed, 30) + " it's,  odd\t" + prose(99, 20), "", prose(99, 20)]
+        found = list(held.encode(texts))
+        assert [[int(x) for x in ids.split()] for ids, _ in found] == [own.encode_ordinary(t) for t in texts]
+        assert [decoded.decode() for _, decoded in found] == texts
+    assert len(held.parts) < 200
+
+
 @pytest.mark.parametrize("letters", ["ab", "aeiounst", "=-*"])
 def test_bpe_windows_at_any_width(codec, monkeypatch, letters):
     monkeypatch.setattr(bpe, "LONG", 8)

@@ -5,9 +5,9 @@ A recursive query joins neighbouring rows with the merge table, takes each word'
 leftmost of them, contracts it, and goes on until no pair of any word is in the table. Ids are decoded by
 joining them with the vocabulary and an ordered aggregation.
 
-A text is cut into words by the tokenizer's pattern. A word is encoded once in a task and remembered, and so is
+A text is cut into words by the tokenizer's pattern. A word is encoded once and remembered, and so is
 what stands between two blanks, which the pattern always cuts alike. Nothing is shuffled; tasks work on a few
-megabytes of text at a time and remember a bounded number of words.
+megabytes of text at a time and remember a bounded number of words; beyond it the rarer ones are forgotten.
 
 The recursion keeps the rows of all rounds, about the square of a word's length. A word of more than ``LONG`` bytes is therefore
 encoded as windows of ``WINDOW`` bytes, each of which begins in the middle of the one before, and its ids are the windows' ids up to and from a
@@ -27,6 +27,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -333,13 +335,25 @@ class Texts:
         self.parts = Numbers()
         self.ids: list[bytes] = []  # of each part, by its number
         self.decoded: list[bytes] = []
+        self.alone: list[bool] = []  # whether the part is one word
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the parts that are met most often, a quarter of those that may be remembered."""
+        kept = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 4]
+        kept = np.sort(kept[self.uses[kept] > 1])
+        names = list(self.parts)
+        self.parts = Numbers()
+        self.parts.update((names[k], n) for n, k in enumerate(kept))
+        self.ids, self.decoded, self.alone = ([held[k] for k in kept] for held in (self.ids, self.decoded, self.alone))
+        self.uses = self.uses[kept] // 2
+        self.words = {
+            part: pair for part, *pair, one in zip(self.parts, self.ids, self.decoded, self.alone) if one
+        }
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        if len(self.parts) > REMEMBERED:
-            self.parts = Numbers()
-            self.ids, self.decoded = [], []
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        if len(self.parts) > REMEMBERED or len(self.words) > REMEMBERED:
+            self._forget()
         number = self.parts.__getitem__
         numbered = []
         for text in texts:
@@ -350,6 +364,9 @@ class Texts:
                 parts = self.codec.pattern.findall(text)
             numbered.append(list(map(number, parts)))
         self._learn()
+        met = np.bincount(np.fromiter(chain.from_iterable(numbered), np.int64), minlength=len(self.ids))
+        met[: len(self.uses)] += self.uses
+        self.uses = met
         for numbers in numbered:
             yield (
                 b" ".join(map(self.ids.__getitem__, numbers)),
@@ -371,6 +388,13 @@ class Texts:
                 ids, decoded = b" ".join([f[0] for f in found]), b"".join([f[1] for f in found])
             self.ids.append(ids)
             self.decoded.append(decoded)
+            self.alone.append(len(ws) == 1)
+
+
+@lru_cache(maxsize=1)
+def remembered(path: str, pattern: str) -> Texts:
+    """The codec and the words that one Python worker keeps from task to task."""
+    return Texts(Codec(read_ranks(path), pattern))
 
 
 #: What can be had of a text, and its type.
@@ -405,7 +429,7 @@ def _run(path: str, pattern: str, columns: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = None
         for batch in batches:
-            texts = texts or Texts(Codec(read_ranks(path), pattern))
+            texts = texts or remembered(path, pattern)
             sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy())
             first = 0
             while first < batch.num_rows:
