@@ -27,7 +27,7 @@ is a block of its own. Without training rows the score is the base score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -199,6 +199,16 @@ def range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, limits), [len(keys)]))
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of every value among them."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.append(True, ranked[1:] != ranked[:-1]) if len(values) else np.zeros(0, bool)
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], place
+
+
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys, and the sums of the values of each."""
     order = np.argsort(keys, kind="stable")
@@ -246,9 +256,11 @@ def _asking(ranges: int, keyed):
                 out = texts.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 for a, b, part in chunks(data, offsets):
                     keys, marks, text = keyed(part, offsets[a : b + 1] - offsets[a])
-                    known, at, back = np.unique(keys, return_index=True, return_inverse=True)
-                    n = np.bincount(back, weights=(~out[a:b])[text], minlength=len(known)).astype(np.int64)
-                    held.append((known, n, marks[at]))
+                    known, place = distinct(keys)
+                    n = np.bincount(place, weights=(~out[a:b])[text], minlength=len(known)).astype(np.int64)
+                    mark = np.zeros(len(known), np.uint8)
+                    mark[place] = marks
+                    held.append((known, n, mark))
                 if sum(len(h[0]) for h in held) > HELD:
                     yield from flush()
         if held:
@@ -329,22 +341,21 @@ def _word_sums(asked: pa.Table) -> pa.Table:
     return _replies(rows)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> tuple[list[list[int]], np.ndarray]:
+def _merged(rows: Iterable) -> tuple[list[list[int]], np.ndarray]:
     """The most frequent words (hash, count, suffix) and the tally of several ranges."""
     best, tally = np.zeros((0, 3), np.int64), np.zeros(SUFFIX + 4, np.int64)
-    for batch in batches:
-        for row in batch.to_pylist():
-            numbers = np.frombuffer(row["reply"], np.int64)
-            if row["kind"] == TALLY:
-                tally += numbers
-            else:
-                best = np.concatenate((best, numbers.reshape(-1, 3)))
-                best = best[np.lexsort((best[:, 0], -best[:, 1]))[: SINGLE - 1]]
+    for row in rows:
+        numbers = np.frombuffer(row["reply"], np.int64)
+        if row["kind"] == TALLY:
+            tally += numbers
+        else:
+            best = np.concatenate((best, numbers.reshape(-1, 3)))
+            best = best[np.lexsort((best[:, 0], -best[:, 1]))[: SINGLE - 1]]
     return best.tolist(), tally
 
 
 def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    best, tally = _merged(batches)
+    best, tally = _merged(row for batch in batches for row in batch.to_pylist())
     replies = [np.array(best, np.int64).tobytes(), tally.tobytes()]
     yield pa.RecordBatch.from_pydict(
         {"kind": pa.array([TOP, TALLY], pa.int32()), "reply": pa.array(replies, pa.binary())}
@@ -493,7 +504,7 @@ def trained(cells: DataFrame, steps: int = STEPS, rate: float = RATE) -> np.ndar
             seen += np.frombuffer(row["seen"], np.float32).reshape(weights.shape)
             expected += np.frombuffer(row["expected"], np.float32).reshape(weights.shape)
         weights = weights + rate * (seen - expected) / (np.maximum(seen, expected) + 1)
-        handle.unpersist()
+        handle.destroy()
     return weights
 
 
@@ -503,7 +514,7 @@ def trained(cells: DataFrame, steps: int = STEPS, rate: float = RATE) -> np.ndar
 @dataclass(frozen=True)
 class Model:
     classes: Classes
-    logs: np.ndarray  # of every class in every context, natural
+    chances: np.ndarray  # of every class in every context
     class_totals: np.ndarray  # training tokens of each class
     tokens: int
     distinct: int
@@ -523,12 +534,18 @@ def _scorer(handle, ranges: int):
         runs = [
             (part, offsets[a : b + 1] - offsets[a]) for data, offsets in texts for a, b, part in chunks(data, offsets)
         ]
-        names, pairs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        # Texts are taken apart once; of each run stay its distinct keys and the places of its tokens among them.
+        held = []
         for part, offsets in runs:
-            names.append(np.unique(_as_words(part, offsets)[0]))
-            if model.tokens:
-                pairs.append(np.unique(_as_pairs(model.classes)(part, offsets)[0]))
-        names, pairs = np.unique(np.concatenate(names)), np.unique(np.concatenate(pairs))
+            hashed, own, near, far, first = tokens(model.classes, part, offsets)
+            of_class, of_word = pair_keys(hashed, own, first)
+            many = own >= SINGLE
+            keys = np.concatenate((of_class, of_word[many])) if model.tokens else np.zeros(0, np.uint64)
+            kind = contexts(near, far, first).astype(np.int16)
+            held.append((*distinct(hashed), *distinct(keys), own.astype(np.uint8), kind, first))
+        none = np.zeros(0, np.uint64)
+        names = distinct(np.concatenate([none, *(h[0] for h in held)]))[0]
+        pairs = distinct(np.concatenate([none, *(h[2] for h in held)]))[0]
         counts = [unpacked(r["reply"], r["size"], np.int64) for r in rows if r["kind"] == WORDS]
         counts = np.concatenate([np.zeros(0, np.int64), *counts])
         if len(counts) != len(names):
@@ -536,23 +553,21 @@ def _scorer(handle, ranges: int):
         pair, rest = _answered(pairs, [r for r in rows if r["kind"] == PAIRS], ranges)
         logs10 = np.log10((counts + 1) / (model.tokens + model.distinct + 1))
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for part, offsets in runs:
-            hashed, own, near, far, first = tokens(model.classes, part, offsets)
-            at = np.searchsorted(names, hashed)
-            c, base = counts[at], logs10[at]
+        for known_words, word, known_pairs, place, own, kind, first in held:
+            at = np.searchsorted(names, known_words)
+            c, base = counts[at][word], logs10[at][word]
             score = base
             if model.tokens:
-                of_class, of_word = pair_keys(hashed, own, first)
-                at = np.searchsorted(pairs, of_class)
-                chance = pair[at] + rest[at] * np.exp(model.logs[contexts(near, far, first), own])
+                at = np.searchsorted(pairs, known_pairs)
+                seen, left = pair[at][place], rest[at][place]
+                n = len(own)
+                chance = seen[:n] + left[:n] * model.chances[kind, own]
                 share = np.maximum(c, 1) / np.maximum(model.class_totals[own], 1)
-                many = np.flatnonzero(own >= SINGLE)
-                at = np.searchsorted(pairs, of_word[many])
-                share[many] = pair[at] + rest[at] * share[many]
+                many = own >= SINGLE
+                share[many] = seen[n:] + left[n:] * share[many]
                 known = c > 0
-                log = np.full(len(c), np.log(model.unknown))
-                log[known] = np.log(chance[known] * share[known]) + np.log1p(-model.unknown)
-                score = log / np.log(10)
+                score = np.full(n, np.log10(model.unknown))
+                score[known] = np.log10(chance[known] * share[known] * (1 - model.unknown))
             begins = first[:-1] + np.arange(len(first) - 1)
             ends = first[1:] + np.arange(1, len(first))
             out["n_tokens"].append(ends - begins)
@@ -587,14 +602,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     vocabulary = sums(_as_words, _word_sums, "vocabulary")
     statistics = vocabulary.where(F.col("kind").isin(TOP, TALLY)).select("kind", "reply").repartition(SHARDS)
-    best, tally = _merged(statistics.mapInArrow(_merging, "kind int, reply binary").toArrow().to_batches())
+    best, tally = _merged(statistics.mapInArrow(_merging, "kind int, reply binary").collect())
     classes = Classes(np.array([t[0] for t in best], dtype=np.int64).view(np.uint64))
     totals = np.zeros(CLASSES, dtype=np.int64)
     totals[SINGLE:] = tally[:SUFFIX]
     for place, (_, n, suffix) in enumerate(best, 1):
         totals[place] = n
         totals[SINGLE + suffix] -= n
-    n_tokens, distinct, once, totals[0] = tally[SUFFIX:].tolist()
+    n_tokens, distinct_, once, totals[0] = tally[SUFFIX:].tolist()
     replies = vocabulary.where(F.col("kind") == WORDS)
     weights = np.zeros((SLOTS, CLASSES))
     if n_tokens:
@@ -610,11 +625,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
             f"{folder}/cells",
         )
         weights = trained(cells)
-    logs = class_logs(weights, np.arange(CONTEXTS))
+    chances = np.exp(class_logs(weights, np.arange(CONTEXTS)))
     if n_tokens:  # classes without a training token have no chance
-        logs[:, totals == 0] = -np.inf
-        logs -= np.log(np.exp(logs).sum(axis=1, keepdims=True))
-    handle = spark.sparkContext.broadcast(Model(classes, logs, totals, n_tokens, distinct, once))
+        chances[:, totals == 0] = 0
+        chances /= chances.sum(axis=1, keepdims=True)
+    handle = spark.sparkContext.broadcast(Model(classes, chances, totals, n_tokens, distinct_, once))
     schema = docs.select("doc_id").schema.add("held_out", "boolean")
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)
