@@ -20,6 +20,7 @@ Texts are laid out in blocks of some megabytes. A block hands on its distinct wo
 each block in the order of its keys, so answers need no keys. A word or pair is there once a block, however frequent it is, and
 ranges are as many as blocks, so neither a task nor the driver holds the vocabulary or the pairs. With more
 ranges than a block has keys, this becomes a row a key. What reaches the driver is bounded by the numbers of classes, contexts and slots.
+A context of pairs stays in one range: its entries, one a block and pair, meet in one task and are not split.
 
 Null text is the end token alone. Rows with null ids are training rows. Repeated rows all count. A text longer than a block
 is a block of its own. Without training rows the score is the base score.
