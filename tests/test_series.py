@@ -16,6 +16,7 @@ from tillcast.operators.series import (
     monthly_totals,
 )
 from tillcast.operators.streaks import positive_streaks
+from tillcast.sources import panels
 
 
 def as_dict(series):
@@ -208,3 +209,29 @@ def test_cancelled_months_have_no_sales(spark):
     rows = [("m", "USD", "US", month(f"2021-0{k}"), v, 1) for k, v in ((1, 5.0), (2, 0.1), (2, 0.2), (2, -0.3), (3, 7.0))]
     series = continuous_series(spark.createDataFrame(rows, TRANSACTIONS))
     assert [r.streak_months for r in positive_streaks(series).collect()] == [1, 1]
+
+
+def test_merchants_are_dealt_out_before_they_become_their_months(spark, tmp_path):
+    """However small the merchants' table is, no task has many of them."""
+    tables = {
+        "region": "SELECT 0 AS r_regionkey, 'ASIA' AS r_name",
+        "nation": "SELECT 0 AS n_nationkey, 'CHINA' AS n_name, 0 AS n_regionkey",
+        "supplier": "SELECT id AS s_suppkey, 0 AS s_nationkey FROM range(300)",
+        "customer": "SELECT id AS c_custkey, 0 AS c_nationkey, 'x' AS c_mktsegment FROM range(300)",
+        "lineitem": "SELECT id AS l_suppkey, 10D AS l_extendedprice, 0D AS l_discount,"
+        " timestamp_ntz'2020-01-15' + make_interval(0, int(id % 24)) AS l_shipdate FROM range(300)",
+        "orders": "SELECT id AS o_orderkey, id AS o_custkey, 10D AS o_totalprice,"
+        " timestamp_ntz'2020-01-15' + make_interval(0, int(id % 24)) AS o_orderdate FROM range(300)",
+    }
+    for name, query in tables.items():
+        spark.sql(query).write.parquet(f"{tmp_path}/{name}.parquet")
+    folder = str(tmp_path)
+    for rows, bounds, merchants in (
+        (panels.planted_transactions, panels.supplier_bounds, 600),
+        (panels.supplier_monthly, panels.supplier_bounds, 300),
+        (panels.customer_monthly, panels.customer_bounds, 300),
+    ):
+        series = continuous_series(rows(spark, folder), bounds(spark, folder))
+        tasks = series.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert sum(t["count"] for t in tasks) == merchants * 24
+        assert max(t["count"] for t in tasks) <= 24 * merchants / 20
