@@ -21,6 +21,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +142,14 @@ class Encoder:
             plain = blanks == len(parts) - (text[:1] not in ("", " ", "\n")) and not self.ODD.search(text)
             named = self.special is not None and self.special.search(text)
             split.append(parts if plain and not named else None)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = {p for parts in split if parts for p in parts if p not in self.known}
+        met: set[str] = set()
+        for parts in split:
+            met.update(parts or ())
+        new = met.difference(self.known)
+        if len(self.known) > REMEMBERED:  # what these texts have as well is frequent
+            self.known = {p: self.known[p] for p in met - new}
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         for text, parts in zip(texts, split):
             if parts is None:
                 yield self._ids(text).tobytes()
@@ -153,9 +157,15 @@ class Encoder:
                 yield b"".join(map(self.known.__getitem__, parts))
 
 
+@lru_cache(maxsize=1)
+def remembered(path: str) -> Encoder:
+    """The tokenizer and the words that one Python worker keeps from task to task."""
+    return Encoder(path)
+
+
 def _pieces(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = remembered(path)
         item = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi in _runs(batch.column(1)):
