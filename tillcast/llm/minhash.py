@@ -505,8 +505,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
         .drop("last")
     )
     members = written(buckets.join(leaders, "bucket"), f"{folder}/members")
+    # Written first: if Spark finds their file small enough it broadcasts them, and no other texts are shuffled.
+    met = written(members.select("doc_id").distinct(), f"{folder}/met")
     texts = written(
-        own.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+        own.join(met, "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
         .join(reps.dropDuplicates(["doc_id"]), "doc_id")
         .select("doc_id", "n_shingles", "sig", "bands", "utf8")
