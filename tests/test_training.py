@@ -8,6 +8,7 @@ from pyspark.ml.regression import GBTRegressionModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from conftest import TRANSACTIONS, month, months
 from tillcast.functions.lineage import cut_lineage, scratch
 from tillcast.operators.encoding import encode_categories, fit_encoder
@@ -140,6 +141,30 @@ def test_a_flat_fit_ends_early(series, tmp_path):
     assert model.stages[-1].getNumTrees == by_depth[5].fitted
 
 
+def test_model_search_fits_all_trees(spark, tmp_path, monkeypatch):
+    """The query's sales are known after one tree; still every fit has all of them."""
+    tables = {
+        "region": "SELECT * FROM VALUES (0, 'ASIA'), (1, 'EUROPE') t(r_regionkey, r_name)",
+        "nation": "SELECT * FROM VALUES (0, 'CHINA', 0), (1, 'FRANCE', 1) t(n_nationkey, n_name, n_regionkey)",
+        "supplier": "SELECT id AS s_suppkey, int(id % 2) AS s_nationkey FROM range(1, 5)",
+        "lineitem": "SELECT id AS l_suppkey, 100D AS l_extendedprice, 0D AS l_discount,"
+        " CAST(make_date(1990 + int(id), 6, 15) AS TIMESTAMP_NTZ) AS l_shipdate FROM range(1, 5)",
+    }
+    for name, query in tables.items():
+        spark.sql(query).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = []
+
+    def kept(*args, **kwargs):
+        found.extend(search_settings(*args, **kwargs))
+        return found
+
+    monkeypatch.setattr(driver, "search_settings", kept)
+    monkeypatch.setattr(driver, "FULL_TREES", (2, 4))
+    rows = driver.model_search(spark, str(tmp_path)).collect()
+    assert [(s.depth, s.trees, s.fitted) for s in found] == [(d, n, n) for d in (5, 10) for n in (2, 4)]
+    assert [(r.max_depth, r.trees) for r in rows if r.chosen] == [(5, 2)]
+
+
 def test_folds_do_not_depend_on_partitions(series):
     def folds(df):
         return sorted(df.select("anonymous_uu_id", "transaction_month", random_folds(3).alias("f")).collect())
